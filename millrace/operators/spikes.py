@@ -149,7 +149,7 @@ def _flags(t: pa.Table, reach: float, min_run: int, max_rounds: int) -> pa.Recor
         timed_rows = lo + np.flatnonzero(timed[lo:hi])
         if not len(timed_rows):
             continue
-        for edge, r in sorted({run[timed_rows[0]]: 1, run[timed_rows[-1]]: 2}.items()):
+        for r, edge in sorted({run[timed_rows[0]]: 1, run[timed_rows[-1]]: 2}.items()):
             members = ident[first[r] : first[r] + length[r]].tolist() if length[r] < min_run else []
             edges.append({"source": src[int(lo)].as_py(), "value": float(u[first[r]]), "slice": int(part[lo]), "edge": edge, "edge_length": int(length[r]), "members": members})
     if edges:
