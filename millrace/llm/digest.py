@@ -37,6 +37,11 @@ def leaves(values: np.ndarray) -> np.ndarray:
     return np.clip(values, -OFFSET, OFFSET - 1).astype(np.int64) + OFFSET + (1 << BITS)
 
 
+def _level(nodes: np.ndarray) -> np.ndarray:
+    """Depth of the nodes, from the exact binary exponent."""
+    return np.frexp(nodes.astype(float))[1].astype(np.int64) - 1
+
+
 def add_up(nodes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids, place = np.unique(nodes, return_inverse=True)
     return ids, np.bincount(place, weights=counts, minlength=len(ids)).astype(np.int64) if len(ids) else counts
@@ -47,7 +52,7 @@ def compress(nodes: np.ndarray, counts: np.ndarray, k: float) -> tuple[np.ndarra
     limit = counts.sum() / k
     if limit < 1:
         return nodes, counts
-    level = np.floor(np.log2(nodes.astype(float))).astype(int)
+    level = _level(nodes)
     kept_n, kept_c = [], []
     here_n, here_c = np.empty(0, np.int64), np.empty(0, np.int64)
     for at in range(BITS, 0, -1):
@@ -75,7 +80,7 @@ def compress(nodes: np.ndarray, counts: np.ndarray, k: float) -> tuple[np.ndarra
 
 def quantiles(nodes: np.ndarray, counts: np.ndarray, shares: list[float]) -> list[int]:
     """Values whose ranks are within the digest's bound of share * n: nodes in order of their upper ends, small ones first."""
-    depth = BITS - np.floor(np.log2(nodes.astype(float))).astype(np.int64)
+    depth = BITS - _level(nodes)
     upper = ((nodes + 1) << depth) - 1 - (1 << BITS) - OFFSET
     order = np.lexsort((-nodes, upper))
     cumulated = np.cumsum(counts[order])

@@ -87,6 +87,8 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed:
     texts = cut(distinct_texts(sized, targets))
     lengths = cut(texts.groupBy("source", "n_tokens").agg(F.count("*").alias("n")))
     solution = solve(lengths, wanted, total)
+    if not solution:
+        return texts.where("false").select("*", F.lit(0.0).alias("rate"), F.lit(0).alias("copies")), solution
     x = texts.where(F.col("source").isin(list(solution)))
     full = [s for s, v in solution.items() if v["multiplier"] is None]
     cap = _lookup({s: v["cap"] for s, v in solution.items()}, F.col("source"))
