@@ -35,9 +35,9 @@ def group_aggregate(df: DataFrame, keys: Sequence[str], value: str, funcs: Seque
     return _where(df, where).groupBy(*keys).agg(*[AGGREGATES[f](F.col(value)).alias(f"{f}_{value}") for f in funcs])
 
 
-def group_maxima(grouped: DataFrame) -> DataFrame:
+def group_maxima(grouped: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The largest of every aggregate over all groups."""
-    numeric = [c for c, t in grouped.dtypes if t in ("bigint", "int", "double") or t.startswith("decimal")]
+    numeric = [c for c, t in grouped.dtypes if c not in keys and (t in ("bigint", "int", "double") or t.startswith("decimal"))]
     return grouped.agg(*[F.max(c).alias(f"max_{c}") for c in numeric])
 
 

@@ -51,8 +51,8 @@ def sequence_filter(df: DataFrame, keys: Sequence[str], ts: str, how: str, lo=No
         x = df
     if compact is None:
         return x
-    rows = F.array_sort(F.collect_list(F.struct(ts, *tie, compact)))
-    return x.groupBy(*keys).agg(F.transform(rows, lambda r: r[compact]).alias("sequence"))
+    rows = F.array_sort(F.collect_list(F.struct(ts, *tie, F.col(compact).alias("_value"))))
+    return x.groupBy(*keys).agg(F.transform(rows, lambda r: r["_value"]).alias("sequence"))
 
 
 def temporal_filter(df: DataFrame, seconds: Column, cycle: str, **options) -> DataFrame:
