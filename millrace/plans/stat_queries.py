@@ -116,10 +116,10 @@ add("loess", lambda t: st.loess(_daily(t), ["event_type"], "day", "x", 7).select
     p as (select a.event_type, a.day, b.i - a.i u, b.x v, pow(1 - pow(abs(b.i - a.i) / 4, 3), 3) w from n a join n b on a.event_type = b.event_type and abs(b.i - a.i) <= 3),
     s as (select event_type, day, sum(w) w, sum(w * u) u, sum(w * v) v, sum(w * u * u) uu, sum(w * u * v) uv from p group by all)
     select event_type, day, round((uu * v - u * uv) / (w * uu - u * u), 4) smooth from s""")
-add("ewma", lambda t: st.ewma(_daily(t), ["event_type"], "day", "x", 0.3).select("event_type", "day", F.round("ewma", 4).alias("ewma")),
+add("ewma", lambda t: st.ewma(_daily(t), ["event_type"], "day", "x", 0.3).select("event_type", "day", F.round("ewma", 2).alias("ewma")),
     f"""with recursive {_DY}, n as (select event_type, day, x, row_number() over (partition by event_type order by day) i from d),
     e as (select event_type, day, i, x e from n where i = 1 union all select n.event_type, n.day, n.i, e.e + 0.3 * (n.x - e.e) from n join e on n.event_type = e.event_type and n.i = e.i + 1)
-    select event_type, day, round(e, 4) ewma from e""")
+    select event_type, day, round(e, 2) ewma from e""")
 
 # Histograms and fits
 
