@@ -53,7 +53,7 @@ def upper_first(c: Column, keep_rest: bool = False, **_) -> Column:
 def pattern_groups(c: Column, pattern: str, n: int, keep: bool = False, on_missing: str = "blank", **_) -> list[Column]:
     """The n groups of a pattern that must match as a whole; a missing group is blank or fails."""
     whole = f"^(?:{pattern})$"
-    bad = F.raise_error(F.concat(F.lit("no match: "), c)).cast("string")
+    bad = F.raise_error(F.concat(F.lit("no match: "), F.coalesce(c, F.lit("null")))).cast("string")
     out = [F.when(c.rlike(whole), F.regexp_extract(c, whole, i + 1)).otherwise(bad) for i in range(n)]
     if on_missing == "fail":
         out = [F.when(x == "", F.raise_error(F.lit("missing group")).cast("string")).otherwise(x) for x in out]
@@ -106,7 +106,7 @@ def unique_key(c: Column | None = None, **_) -> Column:
 @transformer("groupTrans")
 def group(c: Column, groups: dict[str, Sequence[str]], **_) -> list[Column]:
     """The value and the group that lists it; a value in no group fails."""
-    found = F.raise_error(F.concat(F.lit("in no group: "), c)).cast("string")
+    found = F.raise_error(F.concat(F.lit("in no group: "), F.coalesce(c, F.lit("null")))).cast("string")
     for name, values in groups.items():
         found = F.when(c.isin(list(values)), F.lit(name)).otherwise(found)
     return [c, found]

@@ -12,7 +12,7 @@ from millrace.schema import Schema
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | Schema | Sequence[str], sep: str = ",", quote: str | None = '"', trim: bool = True, mode: str = "PERMISSIVE", header: bool = False) -> DataFrame:
-    """Delimited text of any Hadoop file system, globs included. Fields are trimmed, empty fields stay empty texts.
+    """Delimited text of any Hadoop file system, globs included. Fields are trimmed; empty and absent fields are null.
 
     A list of names reads all fields as text; a schema reads them typed, and what cannot be read is null (PERMISSIVE),
     its row is dropped (DROPMALFORMED) or fails the query (FAILFAST).
@@ -21,7 +21,7 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: T.Str
         schema = schema.struct_type()
     elif not isinstance(schema, T.StructType):
         schema = T.StructType([T.StructField(n, T.StringType()) for n in schema])
-    r = spark.read.schema(schema).option("sep", sep).option("mode", mode).option("header", header).option("emptyValue", "").option("nullValue", "\0")
+    r = spark.read.schema(schema).option("sep", sep).option("mode", mode).option("header", header)
     r = r.option("quote", quote or "").option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim)
     return r.csv(path if isinstance(path, str) else list(path))
 
