@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import column_profile as cp
 from millrace.operators import nested, parse_rows, rolling
-from millrace.operators.common import broadcast_if_small, epoch_ms, spelled
+from millrace.operators.common import broadcast_if_small, epoch_ms, spelled, written
 from millrace.operators.intervals import SHARD, clear_runs, run_bitmaps, set_runs
 from millrace.operators.spikes import implausible
 from millrace.sources.tables import read
@@ -21,7 +21,7 @@ PERIODS = [7, 30]
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     counts = [cp.value_counts(read(spark, d, t), t, "feed_id", "load_seq", columns) for t, columns in LOADED.items()]
-    return cp.judged(counts[0].unionByName(counts[1]), read(spark, d, "attr_schema"))
+    return written(cp.judged(counts[0].unionByName(counts[1]), read(spark, d, "attr_schema")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
