@@ -8,8 +8,9 @@ length), whose result is one row per source. A bracket per source keeps the step
 it has at its cap has every rate at the cap.
 
 Rates are rounded to copies: the whole part, and one more for the texts whose fraction exceeds a hash of their id by
-most, the cutting point being chosen per source so that its tokens come as close to the target as one of 8192 steps
-allows. Rounding never passes the cap.
+most. The cutting point is found per source in two rounds of 4096 steps, each one aggregation whose result is a row per
+source and step, so that its tokens come as close to the target as one of 16 million steps allows. Rounding never
+passes the cap.
 
 One text counts once wherever it occurs: its record with the smallest id among the sources of the mix stands for it, so
 no text is used more often than its cap allows. Records without source, id or text, and those of sources without
@@ -97,26 +98,42 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed:
     x = x.withColumn("rate", F.when(F.col("source").isin(full), cap).otherwise(F.least(tilt, cap)))
     x = x.withColumn("whole", F.floor("rate").cast("int")).withColumn("cap", cap.cast("int"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**40)) / F.lit(2.0**40)
-    x = x.withColumn("step", F.when(F.col("whole") < F.col("cap"), F.floor((F.col("rate") - F.col("whole") - chance) * STEPS).cast("int")))
-    # Per source the tokens of every step, 2 * STEPS at most: the cutting point is read off them.
-    base = {r[0]: float(r[1]) for r in x.groupBy("source").agg(F.sum(F.col("whole") * F.col("n_tokens"))).collect()}
-    steps = x.where("step is not null").groupBy("source", "step").agg(F.sum("n_tokens").alias("t"))
-    cuts = {s: float(STEPS) for s in solution}
-    by: dict[str, list] = {}
-    for r in steps.collect():
-        by.setdefault(r["source"], []).append((r["step"], float(r["t"])))
-    for s, rows in by.items():
-        now = base.get(s, 0.0)
-        best = abs(now - solution[s]["goal"])
-        for step, t in sorted(rows, reverse=True):
-            now += t
-            if abs(now - solution[s]["goal"]) >= best:
-                break
-            best, cuts[s] = abs(now - solution[s]["goal"]), float(step)
-    extra = F.when(F.col("step") >= _lookup(cuts, F.col("source")), 1).otherwise(0)
+    fraction = F.when(F.col("whole") < F.col("cap"), (F.col("rate") - F.col("whole") - chance + 1) * (STEPS / 2))
+    x = x.withColumn("step", F.floor(fraction).cast("int")).withColumn("part", F.floor((fraction - F.floor(fraction)) * STEPS).cast("int"))
+    x = x.select("doc_id", "source", "n_tokens", "rate", "whole", "step", "part")
+    now = {r[0]: float(r[1]) for r in x.groupBy("source").agg(F.sum(F.col("whole") * F.col("n_tokens"))).collect()}
+    goals = {s: v["goal"] for s, v in solution.items()}
+    # Per source the tokens of every step, STEPS at most, then of the parts of the one step in which the goal is passed.
+    step_at = _cutting_points(x, "step", now, goals, nearest=False)
+    at = x.where(F.col("step") == _lookup(step_at, F.col("source")))
+    part_at = _cutting_points(at, "part", now, goals, nearest=True)
+    first, second = _lookup(step_at, F.col("source")), _lookup(part_at, F.col("source"))
+    extra = F.when((F.col("step") > first) | ((F.col("step") == first) & (F.col("part") > second)), 1).otherwise(0)
     return x.select("doc_id", "source", "n_tokens", "rate", (F.col("whole") + extra).cast("int").alias("copies")), solution
 
 
+def _cutting_points(x: DataFrame, by: str, now: dict[str, float], goals: dict[str, float], nearest: bool) -> dict[str, float]:
+    """Per source the step, from above, in which its tokens pass the goal (-1 if in none); those above it are drawn.
+
+    ``now``, the tokens drawn, is brought up to date. ``nearest``: the passing step is drawn as well if that is nearer.
+    """
+    tokens: dict[str, list] = {}
+    for r in x.where(F.col(by).isNotNull()).groupBy("source", by).agg(F.sum("n_tokens").alias("t")).collect():
+        tokens.setdefault(r["source"], []).append((r[by], float(r["t"])))
+    out = {}
+    for s, goal in goals.items():
+        out[s] = -1.0
+        for step, t in sorted(tokens.get(s, []), reverse=True):
+            passed = now[s] + t - goal
+            if passed > 0:
+                nearer = nearest and passed < goal - now[s]
+                now[s] += t if nearer else 0.0
+                out[s] = step - 1.0 if nearer else float(step)
+                break
+            now[s] += t
+    return out
+
+
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: target and actual share, tokens and texts available and drawn, the largest number of copies."""
     got = mixed.groupBy("source").agg(
