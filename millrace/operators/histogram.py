@@ -173,7 +173,7 @@ def _beside(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     x = a.select(*by, "bin", F.col("count").alias("a"))
     y = b.select(*on, "bin", F.col("count").alias("b"))
     if set(on) != set(by):
-        y = a.select(*by).distinct().join(y, on) if on else a.select(*by).distinct().join(F.broadcast(y))  # bins of one histogram
+        y = a.select(*by).distinct().join(y, on) if on else a.select(*by).distinct().join(broadcast_if_small(y))  # the bins of one histogram
     return x.join(y, [*by, "bin"], "full").na.fill(0, ["a", "b"])
 
 

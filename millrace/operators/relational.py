@@ -176,7 +176,7 @@ class Dedup(NamedTuple):
     members: DataFrame
 
 
-def dedup(df: DataFrame, keys: Sequence[str] | None = None, mode: str = "all", whole: bool = True, order_by: Sequence[Column | str] | None = None) -> Dedup:
+def dedup(df: DataFrame, keys: Sequence[str] | None = None, mode: str = "all", whole: bool = True, order_by: Sequence[str] | None = None) -> Dedup:
     """all: one row per key; duplicate: one row per key that occurs more than once; unique: rows of keys that occur once.
 
     ``keys`` default to the whole row; ``order_by`` decides which row stands for its key. Null keys are alike.
@@ -184,17 +184,14 @@ def dedup(df: DataFrame, keys: Sequence[str] | None = None, mode: str = "all", w
     third of the rows is no burden, save for the members, which are its rows.
     """
     names = list(keys or df.columns)
-    w = Window.partitionBy(*names)
-    if not order_by and not whole or set(names) == set(df.columns):
-        counted = df.groupBy(*names).agg(F.count("*").alias("_n"))
-        wanted = {"all": "_n >= 1", "duplicate": "_n > 1", "unique": "_n = 1"}[mode]
-        result = counted.where(wanted).select(*names)
-    else:
-        x = df.withColumn("_r", F.row_number().over(w.orderBy(*(order_by or names)))).withColumn("_n", F.count("*").over(w))
-        wanted = {"all": "_r = 1", "duplicate": "_r = 1 and _n > 1", "unique": "_n = 1"}[mode]
-        result = x.where(wanted).select(*(df.columns if whole else names))
-    members = df.withColumn("_n", F.count("*").over(w)).where("_n > 1").drop("_n")
-    return Dedup(result, members)
+    wanted = {"all": "_n >= 1", "duplicate": "_n > 1", "unique": "_n = 1"}[mode]
+    rows = whole and set(names) != set(df.columns)
+    stands = [F.min_by(F.struct(*[f"`{c}`" for c in df.columns]), F.struct(*(order_by or [f"`{c}`" for c in df.columns]))).alias("_row")] if rows else []
+    counted = df.groupBy(*[f"`{c}`" for c in names]).agg(F.count("*").alias("_n"), *stands)
+    result = counted.where(wanted).select("_row.*") if rows else counted.where(wanted).select(*[f"`{c}`" for c in names])
+    more = df.groupBy(*[f"`{c}`" for c in names]).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(names)])
+    on = reduce(lambda a, b: a & b, [df[f"`{c}`"].eqNullSafe(more[f"_k{i}"]) for i, c in enumerate(names)])
+    return Dedup(result, df.join(more, on, "left_semi"))
 
 
 class Split(NamedTuple):

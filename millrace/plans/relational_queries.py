@@ -201,14 +201,14 @@ for _op, _q in (
 
 # De-duplication
 
-_D = "select *, row_number() over (partition by user_id, event_type order by event_id) rn, count(*) over (partition by user_id, event_type) n from events"
-_dedup = lambda t, mode: r.dedup(t.events, ["user_id", "event_type"], mode, order_by=["event_id"])
-add("dedup_all", lambda t: _dedup(t, "all").result.select("event_id"), f"select event_id from ({_D}) where rn = 1")
-add("dedup_duplicate", lambda t: _dedup(t, "duplicate").result.select("event_id"), f"select event_id from ({_D}) where rn = 1 and n > 1")
-add("dedup_unique", lambda t: _dedup(t, "unique").result.select("event_id"), f"select event_id from ({_D}) where n = 1")
-add("dedup_members", lambda t: _dedup(t, "all").members.select("event_id"), f"select event_id from ({_D}) where n > 1")
-add("dedup_keys_only", lambda t: r.dedup(t.events, ["user_id", "event_type"], "duplicate", whole=False).result, "select user_id, event_type from events group by 1, 2 having count(*) > 1")
-add("dedup_whole_rows", lambda t: r.dedup(t.part.select("p_brand", "p_type"), mode="unique").result, "select p_brand, p_type from part group by 1, 2 having count(*) = 1")
+_D = "select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) rn, count(*) over (partition by o_custkey, o_orderpriority) n from orders"
+_dedup = lambda t, mode: r.dedup(t.orders, ["o_custkey", "o_orderpriority"], mode, order_by=["o_orderkey"])
+add("dedup_all", lambda t: _dedup(t, "all").result.select("o_orderkey"), f"select o_orderkey from ({_D}) where rn = 1")
+add("dedup_duplicate", lambda t: _dedup(t, "duplicate").result.select("o_orderkey"), f"select o_orderkey from ({_D}) where rn = 1 and n > 1")
+add("dedup_unique", lambda t: _dedup(t, "unique").result.select("o_orderkey"), f"select o_orderkey from ({_D}) where n = 1")
+add("dedup_members", lambda t: _dedup(t, "all").members.select("o_orderkey"), f"select o_orderkey from ({_D}) where n > 1")
+add("dedup_keys_only", lambda t: r.dedup(t.orders, ["o_custkey", "o_orderpriority"], "duplicate", whole=False).result, "select o_custkey, o_orderpriority from orders group by 1, 2 having count(*) > 1")
+add("dedup_whole_rows", lambda t: r.dedup(t.part.select("p_brand", "p_type", "p_size"), mode="unique").result, "select p_brand, p_type, p_size from part group by 1, 2, 3 having count(*) = 1")
 
 # Mutation
 
