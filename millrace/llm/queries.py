@@ -104,5 +104,16 @@ def p10_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.join(first, "text_class").join(other, "other_class").select("doc_id", "other_doc_id", "start", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_sizes, p8_containers, p8_summary, p9_mix, p9_shares, p10_found, p10_coverage, p10_spans)}
+def p10_links(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document: its class of copies (the smallest id) and the number of other texts it shares a span with."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    found = spans.shared_spans(docs, "doc_id", "text", LENGTH, pairs_only=True)
+    members = spans.classes(docs, "doc_id", "text")
+    first = members.groupBy("text_class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    links = found.groupBy("text_class").agg(F.count_distinct("other_class").alias("links"))
+    x = members.join(first, "text_class").join(links, "text_class", "left")
+    return x.select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_sizes, p8_containers, p8_summary, p9_mix, p9_shares, p10_found, p10_links, p10_coverage, p10_spans)}
 SQL = {"p2_sizes": P2_SIZES_SQL}

@@ -15,6 +15,11 @@ text, and are expanded at the end only where pairs of documents are wanted.
 A text that holds one anchor at more than ``often`` positions (long runs or periods) is not paired position by position:
 such a pair of texts is compared by the hashes of all its windows instead, which takes linear time and is exact too.
 
+An anchor held by more than ``crowd`` texts (a common header, say) is not paired at all: texts may share it and nothing
+more. Its places are looked up in the texts, the windows of the full length around them are hashed, and only texts that
+share such a window are paired, once per span: where the characters before it differ, or where the hashed stretch of one
+of them begins. So what a third of all texts share below the length costs time in proportion to those texts, not pairs.
+
 Texts shorter than the length, null texts and null ids share nothing. Characters are code points. Result columns are new,
 so columns of the input never clash.
 """
@@ -203,8 +208,9 @@ def _unpacked(blocks: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 PAIRS = "a bigint, b bigint, pa int, pb int"
 
 
-def aligned_pairs(h: np.ndarray, c: np.ndarray, p: np.ndarray, v: int, first_residue: int, often: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b, pa, pb) of anchors of one hash in different texts, a < b; pa = pb = -1 for pairs to compare whole.
+def aligned_pairs(h: np.ndarray, c: np.ndarray, p: np.ndarray, v: int, first_residue: int, often: int, crowd: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, pa, pb) of anchors of one hash in different texts, a < b; pa = pb = -1 for pairs to compare whole, and pb = -2
+    for a place of an anchor that more than ``crowd`` texts hold (a = b).
 
     Texts at the same phase (positions equal modulo v) share all cover positions; of these only one residue is kept.
     """
@@ -220,6 +226,13 @@ def aligned_pairs(h: np.ndarray, c: np.ndarray, p: np.ndarray, v: int, first_res
     keep = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1])]
     h, c, p = h[keep], c[keep], p[keep]
     opens = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]  # runs of one hash in one text
+    group = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
+    crowded = (np.bincount(group, weights=opens) > crowd)[group]
+    if crowded.any():
+        yield c[crowded], c[crowded], p[crowded], np.full(crowded.sum(), -2, np.int32)
+        h, c, p, opens = h[~crowded], c[~crowded], p[~crowded], opens[~crowded]
+        if not len(h):
+            return
     start = np.flatnonzero(opens)
     size = np.diff(np.r_[start, len(h)])
     whole = np.repeat(size > often, size)
@@ -243,7 +256,7 @@ def aligned_pairs(h: np.ndarray, c: np.ndarray, p: np.ndarray, v: int, first_res
             yield c[i], c[j], np.where(either, -1, p[i]).astype(np.int32), np.where(either, -1, p[j]).astype(np.int32)
 
 
-def _searcher(v: int, first_residue: int, often: int):
+def _searcher(v: int, first_residue: int, often: int, crowd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[dict]] = {}
         for b in batches:
@@ -252,7 +265,7 @@ def _searcher(v: int, first_residue: int, often: int):
         for blocks in held.values():
             whole: set[tuple[int, int]] = set()
             out: list[tuple[np.ndarray, ...]] = []
-            for a, b, i, j in aligned_pairs(*_unpacked(blocks), v, first_residue, often):
+            for a, b, i, j in aligned_pairs(*_unpacked(blocks), v, first_residue, often, crowd):
                 ones = i < 0
                 whole.update(zip(a[ones].tolist(), b[ones].tolist(), strict=True))
                 out.append((a[~ones], b[~ones], i[~ones], j[~ones]))
@@ -278,22 +291,94 @@ def classes(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return x.select("doc_id", F.xxhash64("_t").alias("text_class"), F.length("_t").alias("n_chars"))
 
 
-def candidate_chains(docs: DataFrame, text: str, length: int, often: int = 64) -> tuple[DataFrame, int, int]:
-    """(a, b, delta, first, last; v; w): chains of aligned anchors; delta null: compare the two texts whole."""
+def candidate_chains(docs: DataFrame, text: str, length: int, often: int, crowd: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """(a, b, delta, first, last), chains of aligned anchors (delta null: compare the two texts whole); (text_class, pos),
+    the places of crowded anchors; v; w."""
     v, w, cover = cover_for(length)
     long_ = docs.select(F.xxhash64(text).alias("text_class"), F.col(text).alias("_t")).where(F.length(text) >= length)
     total = docs.agg(F.sum(F.length(text))).collect()[0][0] or 0
     buckets = int(max(12, -(-total * len(cover) // (v * BUCKET))))
     blocks = long_.mapInArrow(_packer(v, w, cover, buckets), BLOCKS).repartitionById(buckets, "bucket")
-    pairs = cut(blocks.mapInArrow(_searcher(v, cover[0], often), PAIRS))
-    at = pairs.where("pa >= 0").select("a", "b", (F.col("pb") - F.col("pa")).alias("delta"), "pa")
+    pairs = cut(blocks.mapInArrow(_searcher(v, cover[0], often, crowd), PAIRS))
+    at = pairs.where("pb >= 0").select("a", "b", (F.col("pb") - F.col("pa")).alias("delta"), "pa")
     o = Window.partitionBy("a", "b", "delta").orderBy("pa")
     at = at.withColumn("opens", F.when(F.col("pa") - F.lag("pa").over(o) == v, 0).otherwise(1))
     at = at.withColumn("chain", F.sum("opens").over(o.rowsBetween(Window.unboundedPreceding, 0)))
     chains = at.groupBy("a", "b", "delta", "chain").agg(F.min("pa").alias("first"), F.max("pa").alias("last")).drop("chain")
-    whole = pairs.where("pa < 0").select("a", "b").distinct()
+    whole = pairs.where("pb = -1").select("a", "b").distinct()
+    places = pairs.where("pb = -2").select(F.col("a").alias("text_class"), F.col("pa").alias("pos"))
     none = F.lit(None).cast("int")
-    return chains.unionByName(whole.select("a", "b", none.alias("delta"), none.alias("first"), none.alias("last"))), v, w
+    return chains.unionByName(whole.select("a", "b", none.alias("delta"), none.alias("first"), none.alias("last"))), places, v, w
+
+
+WINDOWS = "h bigint, c bigint, at int, before int"
+
+
+def _crowd_hasher(v: int, length: int):
+    """The windows of ``length`` that hold a crowded anchor: hash, class, start, and the character before (-1: the stretch begins)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, text, places in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                points = code_points(text)
+                starts = np.unique((np.array(places, np.int64)[:, None] - np.arange(v)).ravel())
+                starts = starts[(starts >= 0) & (starts <= len(points) - length)]
+                if not len(starts):
+                    continue
+                h = window_hashes(points, starts, length).view(np.int64)
+                before = np.where(np.r_[True, np.diff(starts) > 1], -1, points[np.maximum(starts - 1, 0)].astype(np.int64))
+                cols = [pa.array(h), pa.array(np.full(len(h), c, np.int64)), pa.array(starts.astype(np.int32)), pa.array(before.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "c", "at", "before"])
+
+    return run
+
+
+def _crowd_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of windows of one hash, in batches sorted by hash, save where both have the same character before."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, c, at, before = (t[n].to_numpy() for n in ("h", "c", "at", "before"))
+        part = np.where(before < 0, -1 - np.arange(len(h)), before.astype(np.int64))  # every beginning is a part of its own
+        order = np.lexsort((c, part, h))
+        h, c, at, part = h[order], c[order], at[order], part[order]
+        last = np.r_[h[1:] != h[:-1], True]
+        end_group = np.flatnonzero(last)[np.cumsum(np.r_[0, last[:-1]])] + 1
+        end_part = np.r_[(h[1:] != h[:-1]) | (part[1:] != part[:-1]), True]
+        end_part = np.flatnonzero(end_part)[np.cumsum(np.r_[0, end_part[:-1]])] + 1
+        more = end_group - end_part
+        for lo in _spread(more):
+            rows = np.arange(*lo)
+            i = np.repeat(rows, more[rows])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(more[rows]) - more[rows], more[rows]) + np.repeat(end_part[rows], more[rows])
+            pick = c[i] != c[j]
+            i, j = i[pick], j[pick]
+            swap = c[i] > c[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[i], c[j], at[i], at[j])], names=["a", "b", "pa", "pb"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < 200_000:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        h = t["h"].to_numpy()
+        cut_at = int(np.searchsorted(h, h[-1]))
+        if cut_at:
+            yield from pairs(t.slice(0, cut_at))
+            held = t.slice(cut_at).to_batches()
+    if held:
+        yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+
+def _spread(more: np.ndarray, at_once: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``at_once`` partners together."""
+    total = np.cumsum(more)
+    lo = 0
+    while lo < len(more):
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + at_once)) + 1
+        yield lo, min(max(hi, lo + 1), len(more))
+        lo = min(max(hi, lo + 1), len(more))
 
 
 def _common(x: str, y: str) -> int:
@@ -348,19 +433,28 @@ def _extender(v: int, w: int, length: int):
     return run
 
 
-def shared_spans(docs: DataFrame, ident: str, text: str, length: int = 200, often: int = 64, pairs_only: bool = False) -> DataFrame:
+def shared_spans(docs: DataFrame, ident: str, text: str, length: int = 200, often: int = 64, crowd: int = 100, pairs_only: bool = False) -> DataFrame:
     """text_class, other_class, start, n_chars: every span of ``length`` or more that two different texts share, once from
-    each side. Start and length are in characters of text_class.
+    each side. Start and length are in characters of text_class. Where crowded anchors cut a chain, a part of a span may
+    come beside the whole.
 
-    ``pairs_only``: pairs proven by two successive anchors, v + w > length characters, come with the proven part of the
-    span, without extension; only pairs with none are extended. The pairs are the same either way.
+    ``pairs_only``: pairs proven by two successive anchors, v + w > length characters, or by a common window come with the
+    proven part of the span, without extension; only pairs with none are extended. The pairs are the same either way.
     """
-    chains, v, w = candidate_chains(docs, text, length, often)
+    chains, places, v, w = candidate_chains(docs, text, length, often, crowd)
+    one = classes(docs, ident, text).where(F.col("n_chars") >= length).groupBy("text_class").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("_t")).where(F.length(text) >= length)
+    crowds = None
+    if places.limit(1).collect():
+        at = places.groupBy("text_class").agg(F.collect_set("pos").alias("places"))  # bounded by the text
+        windows = at.join(one, "text_class").join(texts, "doc_id").select("text_class", "_t", "places").mapInArrow(_crowd_hasher(v, length), WINDOWS)
+        crowds = cut(windows.repartition("h").sortWithinPartitions("h").mapInArrow(_crowd_pairs, PAIRS).distinct())
     proven = None
     if pairs_only:
-        best = chains.withColumn("long", F.coalesce(F.max(F.col("last") > F.col("first")).over(Window.partitionBy("a", "b")), F.lit(False)))
-        best = cut(best)
-        proven = best.where("long and last > first").withColumn("n", F.col("last") - F.col("first") + w)
+        best = cut(chains.withColumn("long", F.coalesce(F.max(F.col("last") > F.col("first")).over(Window.partitionBy("a", "b")), F.lit(False))))
+        proven = best.where("long and last > first").select("a", "b", "delta", "first", (F.col("last") - F.col("first") + w).alias("n"))
+        if crowds is not None:
+            proven = proven.unionByName(crowds.select("a", "b", (F.col("pb") - F.col("pa")).alias("delta"), F.col("pa").alias("first"), F.lit(length).alias("n")))
         proven = proven.groupBy("a", "b").agg(F.max(F.struct("n", "first", "delta")).alias("m"))
         sides = F.array(
             F.struct(F.col("a").alias("text_class"), F.col("b").alias("other_class"), F.col("m.first").alias("start"), F.col("m.n").alias("n_chars")),
@@ -368,20 +462,23 @@ def shared_spans(docs: DataFrame, ident: str, text: str, length: int = 200, ofte
         )
         proven = proven.select(F.inline(sides))
         chains = best.where(~F.col("long")).drop("long")
+    chains = chains.withColumn("far", F.lit(False))
+    if crowds is not None and not pairs_only:
+        chains = chains.unionByName(crowds.select("a", "b", (F.col("pb") - F.col("pa")).alias("delta"), F.col("pa").alias("first"), F.col("pa").alias("last"), F.lit(True).alias("far")))
     ends = F.array(
         F.struct(F.lit("a").alias("side"), F.col("a").alias("text_class"), F.col("first").alias("f"), F.col("last").alias("l")),
         F.struct(F.lit("b").alias("side"), F.col("b").alias("text_class"), (F.col("first") + F.col("delta")).alias("f"), (F.col("last") + F.col("delta")).alias("l")),
     )
-    asked = chains.select("a", "b", "delta", "first", "last", F.inline(ends))
-    one = classes(docs, ident, text).where(F.col("n_chars") >= length).groupBy("text_class").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("_t")).where(F.length(text) >= length)
-    got = asked.join(one, "text_class").join(texts, "doc_id")
-    lo = F.greatest(F.col("f") - v, F.lit(0))
+    key = ["a", "b", "delta", "first", "last", "far"]
+    got = chains.select(*key, F.inline(ends)).join(one, "text_class").join(texts, "doc_id")
+    lo = F.when(F.col("far"), F.lit(0)).otherwise(F.greatest(F.col("f") - v, F.lit(0)))
     left = F.when(F.col("delta").isNull(), F.col("_t")).otherwise(F.substring("_t", lo + 1, F.col("f") - lo + w))
-    right = F.when(F.col("delta").isNull(), F.lit("")).otherwise(F.substring("_t", F.col("l") + 1, F.lit(w + v)))
-    got = got.select("a", "b", "delta", "first", "last", "side", F.struct(left.alias("l"), right.alias("r")).alias("s"))
-    both = got.groupBy("a", "b", "delta", "first", "last").agg(*[F.max(F.when(F.col("side") == x, F.col("s"))).alias(f"s{x}") for x in "ab"])
+    right = F.when(F.col("delta").isNull(), F.lit("")).otherwise(F.substring("_t", F.col("l") + 1, F.when(F.col("far"), F.length("_t")).otherwise(F.lit(w + v))))
+    got = got.select(*key, "side", F.struct(left.alias("l"), right.alias("r")).alias("s"))
+    both = got.groupBy(*key).agg(*[F.max(F.when(F.col("side") == x, F.col("s"))).alias(f"s{x}") for x in "ab"])
     spans = both.where("sa is not null and sb is not null").mapInArrow(_extender(v, w, length), SIDES)
+    if crowds is not None:
+        spans = spans.distinct()
     return spans if proven is None else spans.unionByName(proven.select("text_class", "other_class", F.col("start").cast("int"), F.col("n_chars").cast("int")))
 
 

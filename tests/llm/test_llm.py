@@ -159,8 +159,8 @@ def brute_cover(texts, n):
     return out
 
 
-@pytest.mark.parametrize(("seed", "often"), [(1, 64), (2, 64), (3, 3), (4, 1)])
-def test_spans_against_brute_force(spark, seed, often):
+@pytest.mark.parametrize(("seed", "often", "crowd"), [(1, 64, 100), (2, 64, 100), (3, 3, 100), (4, 1, 4), (5, 64, 2), (6, 64, 1)])
+def test_spans_against_brute_force(spark, seed, often, crowd):
     r, n = random.Random(seed), 40
     word = lambda k: "".join(r.choice("abcdefgh é\U0001f600") for _ in range(k))
     shared = [word(k) for k in (38, 39, 40, 41, 60, 79, 200, 33)] + ["-" * 45, "ab" * 40, " " * 300]
@@ -174,9 +174,9 @@ def test_spans_against_brute_force(spark, seed, often):
     texts += [texts[10], texts[10], texts[20], texts[3]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("start", F.lit("clash")).repartition(3)
     members = spans.classes(df, "doc_id", "text")
-    full = spans.shared_spans(df, "doc_id", "text", n, often)
+    full = spans.shared_spans(df, "doc_id", "text", n, often, crowd)
     want = brute_pairs(texts, n)
-    for found in (full, spans.shared_spans(df, "doc_id", "text", n, often, pairs_only=True)):
+    for found in (full, spans.shared_spans(df, "doc_id", "text", n, often, crowd, pairs_only=True)):
         got = [tuple(x) for x in spans.document_pairs(found, members, n).collect()]
         assert set(got) == want and len(got) == len(want)
     rows = {x["doc_id"]: (x["n_chars"], x["shared_chars"]) for x in spans.coverage(full, members, n).collect()}
@@ -192,3 +192,14 @@ def test_spans_empty_and_long(spark):
     df = spark.createDataFrame([(1, base), (2, "x" + base[cut - 100 : cut + 100] + "y"), (3, base[cut : cut + 199])], "doc_id long, text string")
     got = spans.shared_spans(df, "doc_id", "text")
     assert sorted((x["start"], x["n_chars"]) for x in got.collect()) == [(1, 200), (cut - 100, 200)]
+
+
+def test_crowded_header_is_not_paired(spark):
+    """A header below the length in all texts leads to no pairs, and its windows are hashed once per text."""
+    r = random.Random(11)
+    word = lambda k: "".join(r.choice("abcdefghij") for _ in range(k))
+    header, shared = word(190), word(205)
+    texts = [header + word(300) + (shared if i in (3, 700) else "") for i in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = spans.shared_spans(df, "doc_id", "text")
+    assert sorted((x["start"], x["n_chars"]) for x in got.collect()) == [(490, 205), (490, 205)]
