@@ -116,4 +116,16 @@ def p10_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_percentiles, p2_sizes, p8_containers, p8_summary, p9_mix, p9_shares, p10_found, p10_links, p10_coverage, p10_spans)}
-SQL = {"p2_sizes": P2_SIZES_SQL}
+_WINDOWS = f"""w as (select doc_id, i, hash(substr(text, i, {LENGTH})) h from (select doc_id, text, unnest(generate_series(1, length(text) - {LENGTH - 1})) i from documents where length(text) >= {LENGTH})),
+s as (select h from w group by h having count(distinct doc_id) > 1)"""
+P10_FOUND_SQL = f"""with {_WINDOWS}, k as (select distinct doc_id, h from w semi join s using (h))
+select distinct a.doc_id doc_id_1, b.doc_id doc_id_2 from k a join k b on a.h = b.h and a.doc_id < b.doc_id"""
+P10_COVERAGE_SQL = f"""with {_WINDOWS}, p as (select doc_id, i, lead(i) over (partition by doc_id order by i) nx from w semi join s using (h)),
+c as (select doc_id, sum(least(coalesce(nx - i, {LENGTH}), {LENGTH})) n from p group by 1)
+select doc_id, length(text) n_chars, cast(coalesce(n, 0) as bigint) shared_chars, round(case when length(text) > 0 then coalesce(n, 0) / length(text) else 0 end, 6) shared_share from documents left join c using (doc_id) where text is not null"""
+P10_LINKS_SQL = f"""with {_WINDOWS}, f as (select text, min(doc_id) class_id, count(*) copies from documents where text is not null group by 1),
+k as (select distinct class_id, h from w semi join s using (h) join documents using (doc_id) join f using (text)),
+l as (select a.class_id, count(distinct b.class_id) links from k a join k b on a.h = b.h and a.class_id <> b.class_id group by 1)
+select doc_id, class_id, copies, coalesce(links, 0) links from documents join f using (text) left join l using (class_id)"""
+
+SQL = {"p2_sizes": P2_SIZES_SQL, "p10_found": P10_FOUND_SQL, "p10_coverage": P10_COVERAGE_SQL, "p10_links": P10_LINKS_SQL}
