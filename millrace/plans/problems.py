@@ -141,6 +141,31 @@ def p4_accounts(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "pre", "post", "pos", f["acctid"].alias("acct_id"), f["email"].alias("email"), f["phonenum"].alias("phone"))
 
 
+def _members(nodes: str, key: str) -> str:
+    """SQL: every object with its list's name (or its own), place, and the object that holds it."""
+    return f"""select o.{key}, o.id, case when p.type = 'ARRAY' then p.lk else o.lk end nm, case when p.type = 'ARRAY' then cast(o.k as int) else 0 end pos, case when p.type = 'ARRAY' then p.parent else o.parent end holder
+  from {nodes} o left join {nodes} p on p.{key} = o.{key} and p.id = o.parent where o.type = 'OBJECT'"""
+
+
+def _tree(table: str, key: str, text: str) -> str:
+    return f"select {key}, t.key k, lower(t.key) lk, t.type, t.id, t.parent, t.value as val, t.atom ->> '$' txt from {table}, json_tree({text}) t where json_valid({text})"
+
+
+_SCALAR = "type not in ('OBJECT', 'ARRAY', 'NULL')"
+P4_FOUND_SQL = f"""with u as ({_tree("usage_docs", "raw_id", "payload")}), um as ({_members("u", "raw_id")}),
+ux as (select p.raw_id, p.pos pp, c.pos cp, p.id pid, c.id cid from um p left join um c on c.raw_id = p.raw_id and c.holder = p.id and c.nm = 'usages' where p.nm = 'datausage'),
+ur as (select 'usage' doc_kind, x.raw_id, pp, coalesce(a.txt, '') pk, coalesce(cp, -1) cp, coalesce(b.txt, '') ck from ux x
+  left join (select * from u where lk = 'acctid' and {_SCALAR}) a on a.raw_id = x.raw_id and a.parent = pid left join (select * from u where lk = 'deviceid' and {_SCALAR}) b on b.raw_id = x.raw_id and b.parent = cid),
+e as ({_tree("sm_event_docs", "raw_id", "payload")}), em as ({_members("e", "raw_id")}),
+ep as (select raw_id || ':' || id ek, raw_id, id, pos from em where nm = 'entity'),
+ek as (select p.ek, i.txt from ep p join e m on m.raw_id = p.raw_id and m.parent = p.id and m.lk = 'metadata' and m.type = 'OBJECT' join e i on i.raw_id = m.raw_id and i.parent = m.id and i.lk = 'id' and i.{_SCALAR}),
+ed as (select p.ek, case when d.type = 'OBJECT' then cast(d.val as varchar) else d.txt end dt from ep p join e d on d.raw_id = p.raw_id and d.parent = p.id and d.lk = 'data' and d.type in ('OBJECT', 'VARCHAR')),
+v as ({_tree("ed", "ek", "dt")}), vm as ({_members("v", "ek")}),
+er as (select 'event' doc_kind, p.raw_id, p.pos pp, coalesce(ek.txt, '') pk, coalesce(c.pos, -1) cp, coalesce(t.txt, '') ck from ep p left join ek on ek.ek = p.ek
+  left join (select * from vm where nm = 'eventdata') c on c.ek = p.ek left join (select * from v where lk = 'eventcode' and {_SCALAR}) t on t.ek = p.ek and t.parent = c.id)
+select doc_kind, raw_id, cast(pp as int) parent_pos, pk parent_key, cast(cp as int) child_pos, ck child_key from (select * from ur union all select * from er)"""
+
+
 # 5. Readings to distrust
 
 
@@ -274,6 +299,6 @@ from p left join c on c.acct_id = p.acct_id and c.dd = p.dd group by all"""
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_load_changes, p3_found, p3_periods, p4_found, p4_usages, p4_accounts, p5_found, p5_phase_space, p6_found, p6_sound_rows, p7_found, p7_rolling, p7_versions)}
 SQL = {
-    "p1_found": P1_FOUND_SQL, "p1_profile": P1_PROFILE_SQL, "p1_load_changes": P1_CHANGES_SQL, "p3_found": P3_FOUND_SQL, "p3_periods": P3_PERIODS_SQL, "p5_found": P5_FOUND_SQL,
+    "p1_found": P1_FOUND_SQL, "p1_profile": P1_PROFILE_SQL, "p1_load_changes": P1_CHANGES_SQL, "p3_found": P3_FOUND_SQL, "p3_periods": P3_PERIODS_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL,
     "p6_found": P6_FOUND_SQL, "p6_sound_rows": P6_SOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_rolling": P7_ROLLING_SQL, "p7_versions": P7_VERSIONS_SQL,
 }
