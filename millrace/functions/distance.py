@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,15 +76,30 @@ def text(a: Column, b: Column, strategy: str, **options) -> Column:
     return character_pairs(a, b) if strategy == "charPair" else TEXT[strategy](clean_tokens(a), clean_tokens(b), **options)
 
 
+def _of_vectors(kind: str):
+    @F.pandas_udf("double")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.full(len(a), np.nan)
+        sizes = np.array([-1 if x is None or y is None or len(x) != len(y) else len(x) for x, y in zip(a, b, strict=True)])
+        for n in np.unique(sizes[sizes >= 0]):
+            rows = np.flatnonzero(sizes == n)
+            x, y = (np.stack(s.to_numpy()[rows]).astype(float) if n else np.zeros((len(rows), 0)) for s in (a, b))
+            if kind == "manhattan":
+                out[rows] = np.abs(x - y).sum(1)
+            elif kind == "cosine":
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    out[rows] = 1 - (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            else:
+                out[rows] = np.sqrt(((x - y) ** 2).sum(1))
+        return pd.Series(out).where(~np.isnan(out), None)
+
+    return distance
+
+
 def vector(a: Column, b: Column, kind: str = "euclidean") -> Column:
-    """Between arrays of numbers."""
-    x, y = a.cast("array<double>"), b.cast("array<double>")
-    if kind == "manhattan":
-        return F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, d: s + d)
-    if kind == "cosine":
-        total = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, d: s + d)
-        return 1 - total(x, y) / F.sqrt(total(x, x) * total(y, y))
-    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
+    """Between arrays of numbers: euclidean, manhattan or cosine (1 - similarity). Null for nulls, unequal lengths and,
+    by cosine, zero vectors. In Arrow batches, as interpreted lambdas over long arrays are far slower."""
+    return _of_vectors(kind)(a.cast("array<double>"), b.cast("array<double>"))
 
 
 def aggregate(distances: Sequence[Column], kind: str = "euclidean", power: float = 3.0) -> Column:

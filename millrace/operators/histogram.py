@@ -62,6 +62,19 @@ def merge(*histograms: DataFrame, by: Sequence[str]) -> DataFrame:
     return x.groupBy(*by).agg(*[F.sum(c).alias(c) for c in histograms[0].columns if c not in by])
 
 
+def to_text(hist: DataFrame, by: Sequence[str], normalized: bool = False, sep: str = ",") -> DataFrame:
+    """One text per group: "bin:count" (or share) in order of bins."""
+    v = F.round(F.col("count") / F.sum("count").over(Window.partitionBy(*by)), 6) if normalized else F.col("count")
+    rows = F.array_sort(F.collect_list(F.struct("bin", F.concat_ws(":", F.col("bin").cast("string"), F.col("_v").cast("string")).alias("t"))))
+    return hist.withColumn("_v", v).groupBy(*by).agg(F.array_join(F.transform(rows, lambda r: r["t"]), sep).alias("text"))
+
+
+def from_text(texts: DataFrame, by: Sequence[str], text: str = "text", sep: str = ",") -> DataFrame:
+    """The histogram of texts of ``to_text`` with counts: by, bin, count."""
+    x = texts.select(*by, F.explode(F.split(text, f"\\Q{sep}\\E")).alias("_t"))
+    return x.select(*by, F.substring_index("_t", ":", 1).cast("int").alias("bin"), F.substring_index("_t", ":", -1).cast("long").alias("count"))
+
+
 def shares(hist: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds share (of the group's count) and cumulative share in order of bins."""
     w = Window.partitionBy(*by)

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from millrace.functions.distance import Part, record_distance
 
 
-def record_similarity(df: DataFrame, ident: str, parts: Sequence[Part], other: DataFrame | None = None, block: str | None = None, threshold: float | None = None, chunks: int = 8, scale: float | None = None, include_self: bool = False) -> DataFrame:
+def record_similarity(df: DataFrame, ident: str, parts: Sequence[Part], other: DataFrame | None = None, block: str | None = None, threshold: float | None = None, chunks: int = 8, scale: float | None = None, include_self: bool = False, how: str = "weighted", missing: float | None = None) -> DataFrame:
     """id1, id2, distance of all pairs of a block (of one set, id1 < id2, or across two), up to ``threshold``.
 
     A block's pairs are what is asked for; they are spread: every record goes to the chunk pairs its chunk takes part in,
     so a block with a third of all records is worked on by chunks * (chunks + 1) / 2 tasks, each holding its share of two
-    chunks. ``scale``: distances as rounded whole numbers. Without a block the whole set is one.
+    chunks. ``how``: weighted mean of the parts, or an aggregate of them. ``scale``: distances as rounded whole numbers. Without a block the whole set is one.
     """
     names = list(dict.fromkeys(p.name for p in parts))
     key = F.col(block).cast("string") if block else F.lit("")
@@ -31,7 +31,7 @@ def record_similarity(df: DataFrame, ident: str, parts: Sequence[Part], other: D
     x = a.join(b, ["_block", "c1", "c2"])
     if other is None:
         x = x.where(F.col("id1") <= F.col("id2") if include_self else F.col("id1") < F.col("id2"))
-    d = record_distance("r1", "r2", parts)
+    d = record_distance("r1", "r2", parts, how, missing)
     x = x.select("id1", "id2", (F.floor(d * scale + 0.5).cast("long") if scale else d).alias("distance"))
     return x if threshold is None else x.where(F.col("distance") <= threshold)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.distance import Part
-from millrace.functions.season import parent_index, season_index
+from millrace.functions.season import first_cycle, parent_index, season_index
 from millrace.operators import extract as ex
 from millrace.operators import histogram as hi
 from millrace.operators import profile as pr
@@ -278,6 +278,21 @@ _TM = f"with {_SUP}, m as (select a.s_suppkey id1, b.s_suppkey id2, abs(a.s_acct
 add("top_matches", lambda t: rounded(si.top_matches(_pairs(t), "id1", "id2", "distance", n=3, max_dist=20), 6, "distance"), f"{_TM} select id1, id2, round(distance, 6) distance, cast(k as int) as rank from r where k <= 3")
 add("top_matches_compact", lambda t: si.top_matches(_pairs(t), "id1", "id2", "distance", n=3, max_dist=20, compact=True), f"{_TM} select id1, list(id2 order by k) matches from r where k <= 3 group by 1")
 
+_others = lambda t: t.customer.join(t.nation, t.customer.c_nationkey == t.nation.n_nationkey).where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), F.col("c_acctbal").alias("s_acctbal"), F.col("n_regionkey").alias("region"))
+_SQ = "abs(a.s_acctbal - b.c_acctbal) / 5000"
+add("sim_two_sets", lambda t: rounded(si.record_similarity(_sup(t), "s_suppkey", [Part("s_acctbal", "numeric", 1.0, {"scale": 5000.0})], other=_others(t), block="s_nationkey", threshold=0.5), 6, "distance"),
+    f"select s_suppkey id1, c_custkey id2, round({_SQ}, 6) distance from supplier a join customer b on s_nationkey = c_nationkey and c_custkey % 10 = 0 where {_SQ} <= 0.5")
+for _h, _q in (("euclidean", "sqrt(x * x + y * y) / 2"), ("manhattan", "(x + y) / 2"), ("minkowski", "pow((pow(x, 3) + pow(y, 3)) / 2, 1.0 / 3)"), ("categorical", "(x + y) / 2")):
+    add(f"sim_aggregate_{_h}", lambda t, h=_h: rounded(si.record_similarity(_sup(t), "s_suppkey", [Part("s_acctbal", "numeric", 1.0, {"scale": 5000.0}), Part("s_suppkey", "numeric", 1.0, {"scale": 500.0})], block="s_nationkey", how=h), 6, "distance"),
+        f"with {_SUP}, d as (select a.s_suppkey id1, b.s_suppkey id2, abs(a.s_acctbal - b.s_acctbal) / 5000 x, abs(a.s_suppkey - b.s_suppkey) / 500 y {_PAIR}) select id1, id2, round({_q}, 6) distance from d")
+add("sim_within_key_self", lambda t: _sim(t, [Part("s_acctbal", "numeric", 1.0, {"scale": 2000.0})], include_self=True, scale=1000.0).withColumn("distance", F.col("distance").cast("long")),
+    f"with {_SUP} select a.s_suppkey id1, b.s_suppkey id2, cast(floor(abs(a.s_acctbal - b.s_acctbal) / 2000 * 1000 + 0.5) as bigint) distance {_PAIR.replace('a.s_suppkey < b', 'a.s_suppkey <= b')}")
+add("sim_vector_manhattan", lambda t: _vec(t, "manhattan"), f"select a.vec_id id1, b.vec_id id2, round(list_sum(list_transform(list_zip(a.embedding::double[], b.embedding::double[]), lambda p: abs(p[1] - p[2]))), 4) distance {_VP}")
+add("hist_text", lambda t: hi.to_text(hi.from_text(hi.to_text(_hist(t), ["l_returnflag"]), ["l_returnflag"]), ["l_returnflag"]), f"with {_H} select l_returnflag, string_agg(bin || ':' || count, ',' order by bin) as text from h group by 1")
+add("season_first_cycle", lambda t: t.events.select("event_id", *[c.alias(n) for c, n in zip(first_cycle(_seconds(t.events), [{"cycle": "weekEndDayOfWeek"}, {"cycle": "hourRangeOfDay", "groups": [(6, 11), (18, 20)]}]), ("kind", "cycle_index"), strict=True)]),
+    """with e as (select event_id, (epoch_us(ts) // 1000000 % 604800) // 86400 d, hour(ts) h from events) select event_id, case when d > 4 then 'weekEndDayOfWeek' when h between 6 and 11 or h between 18 and 20 then 'hourRangeOfDay' else 'normal' end kind,
+    cast(case when d > 4 then d when h between 6 and 11 then 0 when h between 18 and 20 then 1 else 0 end as bigint) cycle_index from e""")
+
 # JSON and text extraction
 
 _docs = lambda t: t.orders.join(t.lineitem, t.orders.o_orderkey == t.lineitem.l_orderkey).groupBy("o_orderkey", "o_orderstatus").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.array("l_returnflag", "l_linestatus").alias("flags")))).alias("lines")).select("o_orderkey", F.to_json(F.struct(F.struct(F.col("o_orderstatus").alias("status")).alias("head"), "lines")).alias("doc"))
