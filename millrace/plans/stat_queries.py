@@ -26,21 +26,25 @@ def rounded(df, digits, *names):
 
 # Moments, medians, running and temporal aggregates
 
-_MOMENTS = ["sum", "sum_sq", "mean", "variance", "std_dev"]
+_DIGITS = {"sum": 3, "sum_sq": 4, "mean": 9, "avg": 9, "variance": 6, "std_dev": 6}
+
+
+def _moments(df):
+    return df.withColumns({c: F.round(c, n) for c, n in _DIGITS.items() if c in df.columns})
 
 
 def _m(v):
-    return f"round(sum({v}), 3) as sum, round(sum({v} * {v}), 3) sum_sq, count({v}) as count, round(avg({v}), 3) mean, round(var_pop({v}), 3) variance, round(stddev_pop({v}), 3) std_dev, cast(min({v}) as double) as min, cast(max({v}) as double) as max"
+    return f"round(sum({v}), 3) as sum, round(sum({v} * {v}), 4) sum_sq, count({v}) as count, round(avg({v}), 9) mean, round(var_pop({v}), 6) variance, round(stddev_pop({v}), 6) std_dev, cast(min({v}) as double) as min, cast(max({v}) as double) as max"
 
 
 _TWO = "select l_returnflag, l_linestatus, l_suppkey, unnest(['l_quantity', 'l_tax']) attr, unnest([l_quantity, l_tax]) v from lineitem"
-add("num_stats", lambda t: rounded(st.numerical_stats(t.lineitem, ["l_quantity", "l_tax"], ["l_returnflag"]), 3, *_MOMENTS), f"select l_returnflag, attr, {_m('v')} from ({_TWO}) group by 1, 2")
-add("num_stats_cond", lambda t: rounded(st.numerical_stats(t.lineitem, ["l_quantity", "l_tax"], ["l_returnflag"], cond="l_linestatus"), 3, *_MOMENTS), f"select l_returnflag, l_linestatus, attr, {_m('v')} from ({_TWO}) group by all")
-add("num_stats_min_count", lambda t: rounded(st.numerical_stats(t.lineitem, ["l_quantity", "l_tax"], ["l_suppkey"], min_count=600), 3, *_MOMENTS), f"select l_suppkey, attr, {_m('v')} from ({_TWO}) group by all having count(v) > 600")
+add("num_stats", lambda t: _moments(st.numerical_stats(t.lineitem, ["l_quantity", "l_tax"], ["l_returnflag"])), f"select l_returnflag, attr, {_m('v')} from ({_TWO}) group by 1, 2")
+add("num_stats_cond", lambda t: _moments(st.numerical_stats(t.lineitem, ["l_quantity", "l_tax"], ["l_returnflag"], cond="l_linestatus")), f"select l_returnflag, l_linestatus, attr, {_m('v')} from ({_TWO}) group by all")
+add("num_stats_min_count", lambda t: _moments(st.numerical_stats(t.lineitem, ["l_quantity", "l_tax"], ["l_suppkey"], min_count=600)), f"select l_suppkey, attr, {_m('v')} from ({_TWO}) group by all having count(v) > 600")
 _HOUR = "cast((epoch_us(ts) // 1000000 % 86400) // 3600 as bigint)"
-add("num_stats_season", lambda t: rounded(st.numerical_stats(t.events, ["value"], ["event_type"], season=season_index(_seconds(t.events), "hourOfDay")), 3, *_MOMENTS),
+add("num_stats_season", lambda t: _moments(st.numerical_stats(t.events, ["value"], ["event_type"], season=season_index(_seconds(t.events), "hourOfDay"))),
     f"select event_type, {_HOUR} season_index, 'value' attr, {_m('value')} from events group by all")
-add("str_len_stats", lambda t: rounded(st.string_stats(t.part, ["p_name", "p_type"], ["p_brand"]), 3, *_MOMENTS),
+add("str_len_stats", lambda t: _moments(st.string_stats(t.part, ["p_name", "p_type"], ["p_brand"])),
     f"select p_brand, attr, {_m('v')} from (select p_brand, unnest(['p_name', 'p_type']) attr, unnest([length(p_name), length(p_type)])::double v from part) group by all")
 add("median", lambda t: rounded(st.median_stats(t.events, ["value"], ["event_type"]), 4, "median"), "select event_type, 'value' attr, count(value) n, round(median(value), 4) median from events group by 1")
 add("median_season", lambda t: rounded(st.median_stats(t.events, ["value"], ["event_type"], season=season_index(_seconds(t.events), "hourOfDay")), 4, "median"),
@@ -52,20 +56,20 @@ _early = F.lit("2024-01-10").cast("timestamp_ntz")
 
 def _running(t, **o):
     state = st.numerical_stats(t.events.where(F.col("ts") < _early), ["value"], ["user_id"])
-    return rounded(st.running_merge(state, t.events.where((F.col("ts") >= _early) & (F.col("user_id") % 4 > 0)), ["user_id"], ["value"], **o), 3, "sum", "sum_sq", "avg", "std_dev")
+    return _moments(st.running_merge(state, t.events.where((F.col("ts") >= _early) & (F.col("user_id") % 4 > 0)), ["user_id"], ["value"], **o))
 
 
-_RUN = "round(sum(v), 3) as sum, round(sum(v * v), 3) sum_sq, round(avg(v), 3) as avg, round(stddev_pop(v), 3) std_dev"
+_RUN = "round(sum(v), 3) as sum, round(sum(v * v), 4) sum_sq, round(avg(v), 9) as avg, round(stddev_pop(v), 6) std_dev"
 _OLD, _NEW = "select user_id, value v from events where ts < '2024-01-10'", "select user_id, value v from events where ts >= '2024-01-10' and user_id % 4 > 0"
 add("running_merge", _running, f"select user_id, 'value' attr, count(v) as count, {_RUN} from ({_OLD} union all {_NEW}) group by 1")
 add("running_merge_zero", lambda t: _running(t, missing_as_zero=True),
     f"select user_id, 'value' attr, count(v) as count, {_RUN} from ({_OLD} union all {_NEW} union all select distinct user_id, 0.0 from ({_OLD}) where user_id not in (select user_id from ({_NEW}))) group by 1")
 _B = "cast((epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % 21600000 as bigint)"
-for _f, _q in (("count", "count(value)"), ("sum", "round(sum(value), 3)"), ("average", "round(avg(value), 3)")):
-    add(f"temporal_{_f}", lambda t, f=_f: st.temporal_aggregate(t.events, ["event_type"], epoch_ms(t.events, "ts"), ["value"], "hour", 6, f).withColumn(f, F.round(f, 3) if f != "count" else F.col(f)),
+for _f, _q in (("count", "count(value)"), ("sum", "round(sum(value), 6)"), ("average", "round(avg(value), 9)")):
+    add(f"temporal_{_f}", lambda t, f=_f: st.temporal_aggregate(t.events, ["event_type"], epoch_ms(t.events, "ts"), ["value"], "hour", 6, f).withColumn(f, F.round(f, 9) if f == "average" else F.round(f, 6) if f == "sum" else F.col(f)),
         f"select event_type, {_B} bucket, 'value' attr, {_q} as \"{_f}\" from events group by all")
     add(f"seasonal_detect_{_f}",
-        lambda t, f=_f: st.seasonal_aggregate(t.events, ["event_type"], ["value"], parent_index(_seconds(t.events), "hourOfDay"), season_index(_seconds(t.events), "sixHourOfDay"), f).withColumn(f, F.round(f, 3) if f != "count" else F.col(f)),
+        lambda t, f=_f: st.seasonal_aggregate(t.events, ["event_type"], ["value"], parent_index(_seconds(t.events), "hourOfDay"), season_index(_seconds(t.events), "sixHourOfDay"), f).withColumn(f, F.round(f, 9) if f == "average" else F.round(f, 6) if f == "sum" else F.col(f)),
         f"select event_type, cast(epoch_us(ts) // 86400000000 as bigint) parent_cycle, cast((epoch_us(ts) // 1000000 % 86400) // 21600 as bigint) cycle_index, 'value' attr, {_q} as \"{_f}\" from events group by all")
 add("temporal_compact", lambda t: rounded(st.temporal_aggregate(t.lineitem, ["l_returnflag"], epoch_ms(t.lineitem, "l_shipdate"), ["l_quantity", "l_tax"], "week", 4, "sum", compact=True), 3, "sum_l_quantity", "sum_l_tax"),
     "select l_returnflag, cast(epoch_ms(l_shipdate) - epoch_ms(l_shipdate) % 2419200000 as bigint) bucket, round(sum(l_quantity), 3) sum_l_quantity, round(sum(l_tax), 3) sum_l_tax from lineitem group by all")
