@@ -133,8 +133,8 @@ add("hist_numeric", lambda t: rounded(_hist(t), 1, "sum").drop("sum_sq"), f"with
 _widths = lambda t: t.lineitem.groupBy("l_returnflag").agg(F.lit("l_quantity").alias("attr"), (F.round(F.stddev_pop("l_quantity"), 1) / 2).alias("width"))
 add("hist_perkey_width", lambda t: rounded(hi.numeric_histogram(t.lineitem, ["l_quantity"], _widths(t), ["l_returnflag"]), 1, "sum", "sum_sq"),
     "with w as (select l_returnflag, round(stddev_pop(l_quantity), 1) / 2 width from lineitem group by 1) select l_returnflag, 'l_quantity' attr, width, cast(trunc(l_quantity / width) as int) bin, count(*) as count, round(sum(l_quantity), 1) as sum, round(sum(l_quantity * l_quantity), 1) sum_sq from lineitem join w using (l_returnflag) group by all")
-add("hist_season", lambda t: rounded(hi.numeric_histogram(t.events, ["value"], {"value": 20.0}, ["event_type"], season=season_index(_seconds(t.events), "weekDayOrWeekendOfWeek")), 1, "sum", "sum_sq"),
-    "select event_type, cast(case when (epoch_us(ts) // 1000000 % 604800) // 86400 < 5 then 0 else 1 end as bigint) season_index, 'value' attr, 20.0::double width, cast(trunc(value / 20) as int) bin, count(*) as count, round(sum(value), 1) as sum, round(sum(value * value), 1) sum_sq from events group by all")
+add("hist_season", lambda t: _moments(hi.numeric_histogram(t.events, ["value"], {"value": 20.0}, ["event_type"], season=season_index(_seconds(t.events), "weekDayOrWeekendOfWeek"))),
+    "select event_type, cast(case when (epoch_us(ts) // 1000000 % 604800) // 86400 < 5 then 0 else 1 end as bigint) season_index, 'value' attr, 20.0::double width, cast(trunc(value / 20) as int) bin, count(*) as count, round(sum(value), 3) as sum, round(sum(value * value), 4) sum_sq from events group by all")
 _SUM = f"""with {_H}, t as (select l_returnflag, sum(count) n, sum(sum) s, sum(sum_sq) q from h group by 1),
  c as (select h.*, n, sum(count) over (partition by l_returnflag order by bin) cum from h join t using (l_returnflag)),
  z as (select l_returnflag, {", ".join(f"min(case when cum >= n * {p} and cum - count < n * {p} then bin * width + width * (n * {p} - (cum - count)) / count end) q{round(p * 100)}" for p in (0.25, 0.5, 0.75))}, -sum(count / n * ln(count / n)) entropy from c group by 1),
@@ -254,14 +254,14 @@ add("norm_zscore_drop", lambda t: _norm(t, "zScore", trunc=1.5, unit_range=False
 _sup = lambda t: t.supplier.join(t.nation, t.supplier.s_nationkey == t.nation.n_nationkey).select("s_suppkey", "s_nationkey", "s_acctbal", F.col("n_regionkey").alias("region"), "s_name")
 _SUP = "s as (select s_suppkey, s_nationkey, s_acctbal, n_regionkey region, s_name from supplier join nation on n_nationkey = s_nationkey)"
 _PAIR = "from s a join s b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey"
-_sim = lambda t, parts, **o: rounded(si.record_similarity(_sup(t), "s_suppkey", parts, block="s_nationkey", **o), 6, "distance")
+_sim = lambda t, parts, **o: rounded(si.record_similarity(_sup(t), "s_suppkey", parts, block="s_nationkey", **o), 9, "distance")
 add("sim_numeric", lambda t: _sim(t, [Part("s_acctbal", "numeric", 1.0, {"scale": 2000.0, "lower": 0.1, "upper": 1.0})]),
-    f"with {_SUP} select a.s_suppkey id1, b.s_suppkey id2, round(case when d < 0.1 then 0 when d > 1 then 1 else d end, 6) distance from (select a, b, abs(a.s_acctbal - b.s_acctbal) / 2000 d {_PAIR})")
+    f"with {_SUP} select a.s_suppkey id1, b.s_suppkey id2, round(case when d < 0.1 then 0 when d > 1 then 1 else d end, 9) distance from (select a, b, abs(a.s_acctbal - b.s_acctbal) / 2000 d {_PAIR})")
 add("sim_categorical", lambda t: _sim(t, [Part("region", "categorical", 1.0, {"cardinality": 5}), Part("s_name", "categorical")]), f"with {_SUP} select a.s_suppkey id1, b.s_suppkey id2, 0.5::double distance {_PAIR}")
 add("sim_mixed", lambda t: _sim(t, [Part("s_acctbal", "numeric", 3.0, {"scale": 10000.0}), Part("s_name", "text", 1.0, {"strategy": "charPair"})], threshold=0.3),
     f"""with {_SUP}, g as (select s_suppkey, s_nationkey, s_acctbal, list_distinct(list_transform(generate_series(1, length(s_name) - 1), lambda i: substr(s_name, i, 2))) q from s),
     d as (select a.s_suppkey id1, b.s_suppkey id2, (3 * abs(a.s_acctbal - b.s_acctbal) / 10000 + 1 - 2 * len(list_intersect(a.q, b.q)) / (len(a.q) + len(b.q))) / 4 distance from g a join g b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey)
-    select id1, id2, round(distance, 6) distance from d where distance <= 0.3""")
+    select id1, id2, round(distance, 9) distance from d where distance <= 0.3""")
 
 
 def _names(t):
