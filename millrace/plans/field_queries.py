@@ -176,12 +176,12 @@ add("val_not_missing_group", lambda t: t.documents.select("doc_id", va.not_missi
 add("val_value_dependency", lambda t: t.documents.select("doc_id", va.value_dependency("source", "lang", {"openforge": "*", "oldtapes": "", "snipbin": ["python", "json"]}).alias("ok")),
     "select doc_id, case source when 'openforge' then coalesce(lang, '') <> '' when 'oldtapes' then coalesce(lang, '') = '' when 'snipbin' then coalesce(lang in ('python', 'json'), false) else true end ok from documents")
 _CHECKS = [va.Check("c_acctbal", "minDouble", {"value": 0.0}), va.Check("c_acctbal", "maxDouble", {"value": 9000.0}), va.Check("c_mktsegment", "membership", {"value": ["BUILDING", "MACHINERY", "FURNITURE"]})]
-_ROWS = {"key": F.col("c_custkey") % 11 > 0}
+_ROWS = lambda: {"key": F.col("c_custkey") % 11 > 0}
 _TAGS = "list_filter([case when not c_acctbal >= 0 then 'minDouble' end, case when not c_acctbal <= 9000 then 'maxDouble' end], lambda x: x is not null)", "list_filter([case when c_mktsegment not in ('BUILDING', 'MACHINERY', 'FURNITURE') then 'membership' end], lambda x: x is not null)", "list_filter([case when c_custkey % 11 = 0 then 'key' end], lambda x: x is not null)"
 _OKROW = "(c_acctbal between 0 and 9000 and c_mktsegment in ('BUILDING', 'MACHINERY', 'FURNITURE') and c_custkey % 11 > 0)"
-add("val_tagged", lambda t: va.tag_rows(t.customer, _CHECKS, _ROWS).select("c_custkey", "c_acctbal_failed", "c_mktsegment_failed", "row_failed", "valid"), f"select c_custkey, {_TAGS[0]} c_acctbal_failed, {_TAGS[1]} c_mktsegment_failed, {_TAGS[2]} row_failed, {_OKROW} as valid from customer")
-add("val_split", lambda t: va.validate(t.customer, _CHECKS, _ROWS).valid, f"select * from customer where {_OKROW}")
-add("val_split_masked", lambda t: va.validate(t.customer, _CHECKS, _ROWS, mask="?").invalid.select("c_custkey", "c_mktsegment"), f"select c_custkey, case when c_mktsegment in ('BUILDING', 'MACHINERY', 'FURNITURE') then c_mktsegment else '?' end c_mktsegment from customer where not {_OKROW}")
+add("val_tagged", lambda t: va.tag_rows(t.customer, _CHECKS, _ROWS()).select("c_custkey", "c_acctbal_failed", "c_mktsegment_failed", "row_failed", "valid"), f"select c_custkey, {_TAGS[0]} c_acctbal_failed, {_TAGS[1]} c_mktsegment_failed, {_TAGS[2]} row_failed, {_OKROW} as valid from customer")
+add("val_split", lambda t: va.validate(t.customer, _CHECKS, _ROWS()).valid, f"select * from customer where {_OKROW}")
+add("val_split_masked", lambda t: va.validate(t.customer, _CHECKS, _ROWS(), mask="?").invalid.select("c_custkey", "c_mktsegment"), f"select c_custkey, case when c_mktsegment in ('BUILDING', 'MACHINERY', 'FURNITURE') then c_mktsegment else '?' end c_mktsegment from customer where not {_OKROW}")
 add("val_metric", lambda t: va.validity_metric(va.tag_rows(t.customer, _CHECKS), {"c_acctbal": 3, "c_mktsegment": 1}).select("c_custkey", "valid_fields", "validity"),
     "select c_custkey, (c_acctbal between 0 and 9000)::int + (c_mktsegment in ('BUILDING', 'MACHINERY', 'FURNITURE'))::int valid_fields, (3 * (c_acctbal between 0 and 9000)::int + (c_mktsegment in ('BUILDING', 'MACHINERY', 'FURNITURE'))::int) / 4 validity from customer")
 _parts = lambda t: t.retail_order_lines.select("raw_id", F.get(F.split("line_text", ","), F.lit(6)).alias("quantity"), F.get(F.split("line_text", ","), F.lit(0)).alias("day"))

@@ -51,12 +51,12 @@ add("median_season", lambda t: rounded(st.median_stats(t.events, ["value"], ["ev
     f"select event_type, {_HOUR} season_index, 'value' attr, count(value) n, round(median(value), 4) median from events group by all")
 add("mad", lambda t: rounded(st.median_stats(t.events, ["value"], ["event_type"], mad=True), 4, "mad"),
     "select event_type, 'value' attr, count(value) n, round(median(abs(value - m)) * 1.4296, 4) mad from events join (select event_type, median(value) m from events group by 1) using (event_type) group by 1")
-_early = F.lit("2024-01-10").cast("timestamp_ntz")
+_early = lambda: F.lit("2024-01-10").cast("timestamp_ntz")
 
 
 def _running(t, **o):
-    state = st.numerical_stats(t.events.where(F.col("ts") < _early), ["value"], ["user_id"])
-    return _moments(st.running_merge(state, t.events.where((F.col("ts") >= _early) & (F.col("user_id") % 4 > 0)), ["user_id"], ["value"], **o))
+    state = st.numerical_stats(t.events.where(F.col("ts") < _early()), ["value"], ["user_id"])
+    return _moments(st.running_merge(state, t.events.where((F.col("ts") >= _early()) & (F.col("user_id") % 4 > 0)), ["user_id"], ["value"], **o))
 
 
 _RUN = "round(sum(v), 3) as sum, round(sum(v * v), 4) sum_sq, round(avg(v), 9) as avg, round(stddev_pop(v), 6) std_dev"
