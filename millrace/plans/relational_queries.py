@@ -35,10 +35,10 @@ add(
     "select max(c) max_count_o_totalprice, max(m) max_max_o_totalprice from (select count(o_totalprice) c, max(o_totalprice) m from orders group by o_custkey)",
 )
 _TOP = "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) rn from orders"
-_by_price = [F.col("o_totalprice").desc(), "o_orderkey"]
-add("group_topn_long", lambda t: r.order_within(t.orders, ["o_custkey"], _by_price, ["o_orderkey"], limit=3), f"select o_custkey, o_orderkey from ({_TOP}) where rn <= 3")
-add("group_rank", lambda t: r.order_within(t.orders, ["o_custkey"], _by_price, ["o_orderkey"], rank=True), f"select o_custkey, cast(rn as int) as rank from ({_TOP})")
-add("group_compact", lambda t: r.order_within(t.orders, ["o_custkey"], _by_price, ["o_orderkey"], limit=3, compact=True), f"select o_custkey, list(o_orderkey order by rn) as ordered from ({_TOP}) where rn <= 3 group by 1")
+_by_price = lambda: [F.col("o_totalprice").desc(), "o_orderkey"]
+add("group_topn_long", lambda t: r.order_within(t.orders, ["o_custkey"], _by_price(), ["o_orderkey"], limit=3), f"select o_custkey, o_orderkey from ({_TOP}) where rn <= 3")
+add("group_rank", lambda t: r.order_within(t.orders, ["o_custkey"], _by_price(), ["o_orderkey"], rank=True), f"select o_custkey, cast(rn as int) as rank from ({_TOP})")
+add("group_compact", lambda t: r.order_within(t.orders, ["o_custkey"], _by_price(), ["o_orderkey"], limit=3, compact=True), f"select o_custkey, list(o_orderkey order by rn) as ordered from ({_TOP}) where rn <= 3 group by 1")
 add("sort_text", lambda t: r.sort_by(t.customer.select("c_name", "c_custkey"), "c_name", descending=True, limit=50, then=["c_custkey"]), "select c_name, c_custkey from customer order by c_name desc, c_custkey limit 50")
 add("sort_numeric_topk", lambda t: r.sort_by(t.customer.select("c_acctbal", "c_custkey"), "c_acctbal", descending=True, numeric=True, limit=50, then=["c_custkey"]), "select c_acctbal, c_custkey from customer order by c_acctbal desc, c_custkey limit 50")
 add(
