@@ -106,6 +106,20 @@ def test_spikes_against_brute_force(spark, max_rows):
     assert len(rows_got) == len({x["ident"] for x in rows_got})
 
 
+def test_spikes_of_cut_sources_are_those_of_whole_ones(spark):
+    r = random.Random(8)
+    rows = []
+    for src in ("hot", "warm"):
+        for i in range(900):
+            v = round(100 + 8 * r.gauss(0, 1)) + (r.randint(10, 45) if r.random() < 0.15 else 0) + (10**4 if r.random() < 0.02 else 0)
+            rows.append((len(rows), src, v, None if r.random() < 0.03 else 3 * i + r.randint(0, 5)))
+    rows += [(5000 + i, "few", r.randint(0, 9), i) for i in range(50)]
+    df = spark.createDataFrame(rows + rows[:40], "ident long, source string, value long, at long")
+    args = (F.col("ident"), F.col("source"), F.col("value"), F.col("at"), F.col("value") < 0)
+    whole, cut = ({tuple(x) for x in implausible(df, *args, max_rows=m, at_once=200).collect()} for m in (1_000_000, 60))
+    assert len({x[6] for x in whole}) > 3 and cut == whole
+
+
 def test_spikes_impossible_and_empty(spark):
     df = spark.createDataFrame([(1, "a", -4, None), (2, "a", 3, None), (3, None, -1, 5)], "ident long, source string, value long, at long")
     args = (F.col("ident"), F.col("source"), F.col("value"), F.col("at"), F.col("value") < 0)
