@@ -264,8 +264,12 @@ add("sim_mixed", lambda t: _sim(t, [Part("s_acctbal", "numeric", 3.0, {"scale":
     select id1, id2, round(distance, 9) distance from d where distance <= 0.3""")
 
 
+def _all_names(t):
+    return t.part.select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("words"))
+
+
 def _names(t):
-    return t.part.where("p_size = 7").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("words"))
+    return _all_names(t).where("p_size = 7")
 
 
 _NM = "n as (select p_partkey, p_brand, list_filter(string_split_regex(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda w: w <> '') w from part where p_size = 7), p as (select a.p_partkey id1, b.p_partkey id2, a.w x, b.w y, list_intersect(a.w, b.w) m from n a join n b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey)"
@@ -273,6 +277,9 @@ for _s, _q in (("jaccard", "1 - len(m) / len(list_distinct(list_concat(x, y)))")
     add(f"sim_{_s}", lambda t, s=_s: rounded(si.record_similarity(_names(t), "p_partkey", [Part("words", "text", 1.0, {"strategy": s})], block="p_brand"), 6, "distance"), f"with {_NM} select id1, id2, round({_q}, 6) distance from p")
 add("sim_cosine", lambda t: rounded(si.record_similarity(_names(t), "p_partkey", [Part("words", "text", 1.0, {"strategy": "cosine"})], block="p_brand"), 6, "distance"),
     f"with {_NM}, c as (select p_partkey, p_brand, u w, count(*) c from (select p_partkey, p_brand, unnest(w) u from n) group by all), l as (select p_partkey, p_brand, sqrt(sum(c * c)) l from c group by all), d as (select a.p_partkey i, b.p_partkey j, sum(a.c * b.c) s from c a join c b on a.w = b.w and a.p_brand = b.p_brand and a.p_partkey < b.p_partkey group by all) select a.p_partkey id1, b.p_partkey id2, round(1 - coalesce(s, 0) / (a.l * b.l), 6) distance from l a join l b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey left join d on i = a.p_partkey and j = b.p_partkey")
+# The three above compare the parts of one size, as their SQL does; these compare all parts of a brand.
+for _s in ("jaccard", "dice", "cosine"):
+    add(f"sim_{_s}_all", lambda t, s=_s: rounded(si.record_similarity(_all_names(t), "p_partkey", [Part("words", "text", 1.0, {"strategy": s})], block="p_brand"), 6, "distance"), registry.sql[f"sim_{_s}"].replace(" where p_size = 7", ""))
 _vec = lambda t, kind: rounded(si.record_similarity(t.embeddings.where("label is not null"), "vec_id", [Part("embedding", "vector", 1.0, {"kind": kind})], block="label"), 4, "distance")
 _VP = "from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id"
 add("sim_vector_euclidean", lambda t: _vec(t, "euclidean"), f"select a.vec_id id1, b.vec_id id2, round(list_distance(a.embedding::double[], b.embedding::double[]), 4) distance {_VP}")
