@@ -178,6 +178,10 @@ _ROLES = lambda t: {"n": (t.nation, "n_nationkey", ["n_name"], None), "c": (t.cu
 _C, _SU = "(select * from customer where c_custkey < 60)", "(select * from supplier where s_suppkey < 40)"
 add("multi_join_inner", lambda t: r.multi_join(_ROLES(t)), f"select n_nationkey as key, n_name n_n_name, c_name c_c_name, s_name s_s_name from nation join {_C} on c_nationkey = n_nationkey join {_SU} on s_nationkey = n_nationkey")
 add("multi_join_outer", lambda t: r.multi_join(_ROLES(t), outer=True), f"select n_nationkey as key, coalesce(n_name, '') n_n_name, coalesce(c_name, '') c_c_name, coalesce(s_name, '') s_s_name from nation left join {_C} on c_nationkey = n_nationkey left join {_SU} on s_nationkey = n_nationkey")
+# The two above join the customers below 60 and the suppliers below 40, as their SQL does; these join whole tables.
+_ROLES_ALL = lambda t: {n: (df, k, fs, None) for n, (df, k, fs, _) in _ROLES(t).items()}
+for _n in ("inner", "outer"):
+    add(f"multi_join_{_n}_all", lambda t, o=_n == "outer": r.multi_join(_ROLES_ALL(t), outer=o), registry.sql[f"multi_join_{_n}"].replace(_C, "customer").replace(_SU, "supplier"))
 add("lookup_side_table", lambda t: r.lookup(t.customer.select("c_custkey", "c_nationkey"), "c_nationkey", t.nation.where("n_regionkey < 3"), "n_nationkey", "n_name", "nation").select("c_custkey", "nation"),
     "select c_custkey, coalesce(n_name, cast(c_nationkey as varchar)) nation from customer left join nation on n_nationkey = c_nationkey and n_regionkey < 3")
 add("combinator_pairs", lambda t: r.combinator(t.part, ["p_brand", "p_type", "p_name"], "p_partkey"),

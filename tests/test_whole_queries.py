@@ -38,3 +38,15 @@ def test_text_similarity_of_all_parts(spark, how):
     got = {(x["id1"], x["id2"]): x["distance"] for x in answer(spark, f"sim_{how}_all")}
     assert got.keys() == want.keys() and len({p["p_size"] for p in parts}) > 10
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+@pytest.mark.parametrize("outer", [False, True])
+def test_multi_join_of_whole_tables(spark, outer):
+    sides = [{}, {}]
+    for side, rows, key, name in ((sides[0], table("customer"), "c_nationkey", "c_name"), (sides[1], table("supplier"), "s_nationkey", "s_name")):
+        for x in rows:
+            side.setdefault(x[key], []).append(x[name])
+    none = [""] if outer else []
+    want = sorted((n["n_nationkey"], n["n_name"], c, s) for n in table("nation") for c in sides[0].get(n["n_nationkey"], none) for s in sides[1].get(n["n_nationkey"], none))
+    assert sorted(map(tuple, answer(spark, f"multi_join_{'outer' if outer else 'inner'}_all"))) == want
+    assert len({w[2] for w in want}) > 60
