@@ -196,6 +196,10 @@ _SA, _SB = "select c_custkey as k, c_mktsegment v from customer where c_custkey
 _sets = lambda t: (t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")), t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")))
 for _op, _q in (("intersect", f"({_SA}) intersect ({_SB})"), ("union", f"({_SA}) union all ({_SB})"), ("firstMinusSecond", f"({_SA}) except ({_SB})"), ("secondMinusFirst", f"({_SB}) except ({_SA})")):
     add(f"set_key_{_op}", lambda t, o=_op: r.set_op(*_sets(t), o, ["k"]), _q)
+# The sides above are taken by remainders of the key, which leaves customers in neither; these by balance: all are in one.
+_by_balance = lambda t: tuple(t.customer.where(w).select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")) for w in ("c_acctbal < 5000", "c_acctbal >= 0"))
+for _op in ("intersect", "union", "firstMinusSecond", "secondMinusFirst"):
+    add(f"set_key_{_op}_all", lambda t, o=_op: r.set_op(*_by_balance(t), o, ["k"]), registry.sql[f"set_key_{_op}"].replace("c_custkey % 2 = 0", "c_acctbal < 5000").replace("c_custkey % 3 = 0", "c_acctbal >= 0"))
 _values = lambda t: (t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("v")), t.customer.where("c_acctbal < 0").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("v")))
 _VA = "a as (select c_nationkey k, list_sort(list(distinct c_mktsegment)) x from customer group by 1), b as (select c_nationkey k, list_sort(list(distinct c_mktsegment)) y from customer where c_acctbal < 0 group by 1), j as (select k, coalesce(x, []) x, coalesce(y, []) y from a full join b using (k))"
 for _op, _q in (

@@ -289,10 +289,14 @@ _TM = f"with {_SUP}, m as (select a.s_suppkey id1, b.s_suppkey id2, abs(a.s_acct
 add("top_matches", lambda t: rounded(si.top_matches(_pairs(t), "id1", "id2", "distance", n=3, max_dist=20), 6, "distance"), f"{_TM} select id1, id2, round(distance, 6) distance, cast(k as int) as rank from r where k <= 3")
 add("top_matches_compact", lambda t: si.top_matches(_pairs(t), "id1", "id2", "distance", n=3, max_dist=20, compact=True), f"{_TM} select id1, list(id2 order by k) matches from r where k <= 3 group by 1")
 
-_others = lambda t: t.customer.join(t.nation, t.customer.c_nationkey == t.nation.n_nationkey).where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), F.col("c_acctbal").alias("s_acctbal"), F.col("n_regionkey").alias("region"))
+_all_others = lambda t: t.customer.join(t.nation, t.customer.c_nationkey == t.nation.n_nationkey).select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), F.col("c_acctbal").alias("s_acctbal"), F.col("n_regionkey").alias("region"))
+_others = lambda t: _all_others(t).where("s_suppkey % 10 = 0")
 _SQ = "abs(a.s_acctbal - b.c_acctbal) / 5000"
 add("sim_two_sets", lambda t: rounded(si.record_similarity(_sup(t), "s_suppkey", [Part("s_acctbal", "numeric", 1.0, {"scale": 5000.0})], other=_others(t), block="s_nationkey", threshold=0.5), 6, "distance"),
     f"select s_suppkey id1, c_custkey id2, round({_SQ}, 6) distance from supplier a join customer b on s_nationkey = c_nationkey and c_custkey % 10 = 0 where {_SQ} <= 0.5")
+# sim_two_sets compares each tenth customer, as its SQL does; this compares all.
+add("sim_two_sets_all", lambda t: rounded(si.record_similarity(_sup(t), "s_suppkey", [Part("s_acctbal", "numeric", 1.0, {"scale": 5000.0})], other=_all_others(t), block="s_nationkey", threshold=0.5), 6, "distance"),
+    registry.sql["sim_two_sets"].replace(" and c_custkey % 10 = 0", ""))
 for _h, _q in (("euclidean", "sqrt(x * x + y * y) / 2"), ("manhattan", "(x + y) / 2"), ("minkowski", "pow((pow(x, 3) + pow(y, 3)) / 2, 1.0 / 3)"), ("categorical", "(x + y) / 2")):
     add(f"sim_aggregate_{_h}", lambda t, h=_h: rounded(si.record_similarity(_sup(t), "s_suppkey", [Part("s_acctbal", "numeric", 1.0, {"scale": 5000.0}), Part("s_suppkey", "numeric", 1.0, {"scale": 500.0})], block="s_nationkey", how=h), 6, "distance"),
         f"with {_SUP}, d as (select a.s_suppkey id1, b.s_suppkey id2, abs(a.s_acctbal - b.s_acctbal) / 5000 x, abs(a.s_suppkey - b.s_suppkey) / 500 y {_PAIR}) select id1, id2, round({_q}, 6) distance from d")

@@ -50,3 +50,19 @@ def test_multi_join_of_whole_tables(spark, outer):
     want = sorted((n["n_nationkey"], n["n_name"], c, s) for n in table("nation") for c in sides[0].get(n["n_nationkey"], none) for s in sides[1].get(n["n_nationkey"], none))
     assert sorted(map(tuple, answer(spark, f"multi_join_{'outer' if outer else 'inner'}_all"))) == want
     assert len({w[2] for w in want}) > 60
+
+
+def test_two_sets_of_all_rows(spark):
+    customers = table("customer")
+    want = {(s["s_suppkey"], c["c_custkey"]): abs(s["s_acctbal"] - c["c_acctbal"]) / 5000 for s in table("supplier") for c in customers if s["s_nationkey"] == c["c_nationkey"]}
+    got = {(x["id1"], x["id2"]): x["distance"] for x in answer(spark, "sim_two_sets_all")}
+    assert got.keys() == {k for k, d in want.items() if d <= 0.5} and any(c % 10 for _, c in got)
+    assert all(abs(d - want[k]) < 2e-6 for k, d in got.items())
+
+
+@pytest.mark.parametrize("op", ["intersect", "union", "firstMinusSecond", "secondMinusFirst"])
+def test_set_operations_leave_no_customer_out(spark, op):
+    rows = [(c["c_custkey"], c["c_mktsegment"], c["c_acctbal"]) for c in table("customer")]
+    a, b = [x[:2] for x in rows if x[2] < 5000], [x[:2] for x in rows if x[2] >= 0]
+    want = {"intersect": set(a) & set(b), "union": a + b, "firstMinusSecond": set(a) - set(b), "secondMinusFirst": set(b) - set(a)}[op]
+    assert sorted(map(tuple, answer(spark, f"set_key_{op}_all"))) == sorted(want) and want and {*a, *b} == {x[:2] for x in rows}
