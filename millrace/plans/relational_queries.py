@@ -40,6 +40,8 @@ add("group_topn_long", lambda t: r.order_within(t.orders, ["o_custkey"], _by_pri
 add("group_rank", lambda t: r.order_within(t.orders, ["o_custkey"], _by_price(), ["o_orderkey"], rank=True), f"select o_custkey, cast(rn as int) as rank from ({_TOP})")
 add("group_compact", lambda t: r.order_within(t.orders, ["o_custkey"], _by_price(), ["o_orderkey"], limit=3, compact=True), f"select o_custkey, list(o_orderkey order by rn) as ordered from ({_TOP}) where rn <= 3 group by 1")
 add("sort_text", lambda t: r.sort_by(t.customer.select("c_name", "c_custkey"), "c_name", descending=True, limit=50, then=["c_custkey"]), "select c_name, c_custkey from customer order by c_name desc, c_custkey limit 50")
+# sort_text takes the first 50, as its SQL does; this is the whole table in order.
+add("sort_text_all", lambda t: r.sort_by(t.customer.select("c_name", "c_custkey"), "c_name", descending=True, then=["c_custkey"]), registry.sql["sort_text"].removesuffix(" limit 50"))
 add("sort_numeric_topk", lambda t: r.sort_by(t.customer.select("c_acctbal", "c_custkey"), "c_acctbal", descending=True, numeric=True, limit=50, then=["c_custkey"]), "select c_acctbal, c_custkey from customer order by c_acctbal desc, c_custkey limit 50")
 add(
     "secondary_sort_check",

@@ -66,3 +66,8 @@ def test_set_operations_leave_no_customer_out(spark, op):
     a, b = [x[:2] for x in rows if x[2] < 5000], [x[:2] for x in rows if x[2] >= 0]
     want = {"intersect": set(a) & set(b), "union": a + b, "firstMinusSecond": set(a) - set(b), "secondMinusFirst": set(b) - set(a)}[op]
     assert sorted(map(tuple, answer(spark, f"set_key_{op}_all"))) == sorted(want) and want and {*a, *b} == {x[:2] for x in rows}
+
+
+def test_sort_of_a_whole_table(spark):
+    want = sorted(sorted((c["c_name"], c["c_custkey"]) for c in table("customer")), key=lambda c: c[0], reverse=True)
+    assert [tuple(x) for x in answer(spark, "sort_text_all")] == want and len(want) > 50
