@@ -4,7 +4,7 @@ Phase-space thresholding: the readings of a source in time order span the space
 second difference. Good readings lie inside an ellipsoid around the median whose axes are robust (median absolute
 deviation, scaled to the normal distribution) times the universal threshold sqrt(2 ln n); the value axis is held at
 ``reach`` median deviations at most. Readings outside any of the three projected ellipses are spikes; they are
-replaced by the last good reading and the step is repeated until it finds none, at most ``max_rounds`` times. Zero
+replaced by the last good reading and the step is repeated until it finds none (or ``max_rounds`` times, if given). Zero
 differences over ``min_run`` or more successive readings are stuck values; the caller's ``impossible`` condition
 catches readings beyond physical bounds.
 
@@ -23,6 +23,7 @@ equal times are put in order by the id; deliveries of one (source, id) count onc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ def phase_space_rounds(u, seg, starts, sizes, timed, median, deviation, reach, m
     linked = np.zeros(len(u), bool)
     linked[1:] = (seg[1:] == seg[:-1]) & timed[1:] & timed[:-1]
     z, rounds, axes = u - median[seg], np.zeros(len(u), np.int32), None
-    for at in range(1, max_rounds + 1):
+    for at in count(1) if max_rounds is None else range(1, max_rounds + 1):
         d1 = _differences(z, linked)
         d2 = _differences(d1, linked)
         if axes is None:
@@ -134,7 +135,7 @@ def _certain(rounds, starts, ends, core_lo, core_hi, first, final) -> np.ndarray
     return result
 
 
-def _flags(t: pa.Table, reach: float, min_run: int, max_rounds: int) -> pa.RecordBatch:
+def _flags(t: pa.Table, reach: float, min_run: int, max_rounds: int | None) -> pa.RecordBatch:
     """One task's share of whole slices, in order of source, slice, time (null first) and id."""
     src = t["source"].combine_chunks()
     part, ident = t["slice"].to_numpy(), t["ident"].to_numpy()
@@ -190,7 +191,7 @@ def _flags(t: pa.Table, reach: float, min_run: int, max_rounds: int) -> pa.Recor
     return pa.Table.from_batches([flagged, slices]).combine_chunks().to_batches()[0]
 
 
-def _scan(reach: float, min_run: int, max_rounds: int, at_once: int):
+def _scan(reach: float, min_run: int, max_rounds: int | None, at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for b in batches:
@@ -268,7 +269,7 @@ def implausible(
     *,
     reach: float = 8.0,
     min_run: int = 6,
-    max_rounds: int = 10,
+    max_rounds: int | None = None,
     max_rows: int = 1_000_000,
     at_once: int = 400_000,
 ) -> DataFrame:
@@ -301,7 +302,7 @@ def implausible(
     while True:
         flags = written(_slices(readings, size, margin).mapInArrow(scan, SCHEMA))
         about = flags.where("certain is not null").groupBy("source").agg(F.min("certain").alias("certain"), F.max("last_round").alias("last"))
-        doubtful = about.where(F.col("certain") < F.least(F.col("last") + 1, F.lit(max_rounds))).select("source")
+        doubtful = about.where(F.col("certain") < F.least(F.col("last") + 1, F.lit(max_rounds).cast("long"))).select("source")
         flags = flags.where("certain is null").select(*names)
         again = bool(doubtful.limit(1).collect())
         if not again:

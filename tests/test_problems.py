@@ -120,6 +120,19 @@ def test_spikes_of_cut_sources_are_those_of_whole_ones(spark):
     assert len({x[6] for x in whole}) > 3 and cut == whole
 
 
+@pytest.mark.parametrize("max_rows", [1_000_000, 60])
+def test_spike_rounds_go_on_until_none_is_found(spark, max_rows):
+    r = random.Random(5)
+    v = [10_000 + r.randint(-400, 400) for _ in range(900)]
+    v[300:340] = [10_000 + (-1) ** i * (800 + 18 * i) for i in range(40)]  # linked, each further out than the one before
+    df = spark.createDataFrame([(i, "a", x, i) for i, x in enumerate(v)], "ident long, source string, value long, at long")
+    args = (F.col("ident"), F.col("source"), F.col("value"), F.col("at"), F.col("value") < 0)
+    rounds = {x["ident"]: x["spike_round"] for x in implausible(df, *args, max_rows=max_rows).collect()}
+    assert max(rounds.values()) > 10
+    kept = {x["ident"] for x in implausible(df, *args, max_rows=max_rows, max_rounds=max(rounds.values()) + 20).where("spike_round > 0").collect()}
+    assert kept == {i for i, n in rounds.items() if n}
+
+
 def test_spikes_impossible_and_empty(spark):
     df = spark.createDataFrame([(1, "a", -4, None), (2, "a", 3, None), (3, None, -1, 5)], "ident long, source string, value long, at long")
     args = (F.col("ident"), F.col("source"), F.col("value"), F.col("at"), F.col("value") < 0)
