@@ -3,12 +3,14 @@ correlations, covariance and Mahalanobis distance. Attributes are unpivoted once
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millrace.functions.transform import UNIT_MS
 from millrace.operators.quantiles import exact_medians
@@ -225,9 +227,29 @@ def loess(df: DataFrame, keys: Sequence[str], seq: str, attr: str, span: int = 1
     return x.withColumn(output, fit).drop("_i", "_near", "_at", *[f"_s_{n}" for n in sums])
 
 
-def ewma(df: DataFrame, keys: Sequence[str], seq: str, attr: str, step: float, window: int = 256, output: str = "ewma") -> DataFrame:
-    """Recency weighted average, avg += step * (v - avg), over the last ``window`` rows, whose older part weighs
-    (1 - step) ** window and less; the first value of the window starts it."""
-    o = Window.partitionBy(*keys).orderBy(seq).rowsBetween(-(window - 1), 0)
-    values = F.collect_list(F.col(attr).cast("double")).over(o)
-    return df.withColumn(output, F.aggregate(F.slice(values, 2, window), F.get(values, F.lit(0)), lambda a, v: a + step * (v - a)))
+def ewma(df: DataFrame, keys: Sequence[str], seq: str, attr: str, step: float, output: str = "ewma") -> DataFrame:
+    """Recency weighted average, avg += step * (v - avg), over all rows of a key so far; the first value starts it.
+
+    Null values leave it as it is. Rows come in Arrow batches, in order; between them one number per key is carried.
+    """
+    ids = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, average = None, None
+        for b in batches:
+            averages = []
+            columns = [b.column(k).to_pylist() for k in ids]
+            for now, v in zip(zip(*columns, strict=True) if ids else [()] * b.num_rows, b.column("_v").to_pylist(), strict=True):
+                if now != key:
+                    key, average = now, None
+                if v is not None:
+                    average = v if average is None else average + step * (v - average)
+                averages.append(average)
+            kept = [b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(averages, pa.float64())], names=[*names, output])
+
+    names = [c for c in df.columns if c != output]
+    x = df.withColumn("_v", F.col(attr).cast("double"))
+    x = (x.repartition(*ids) if ids else x.coalesce(1)).sortWithinPartitions(*ids, seq)
+    schema = StructType([*[df.schema[c] for c in names], StructField(output, DoubleType())])
+    return x.mapInArrow(run, schema)

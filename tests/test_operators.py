@@ -286,6 +286,18 @@ def test_similarity(spark):
     assert abs(row[0]) < 1e-12 and row[1] == 0.75 and row[2] == 0.0 and row[3] == 2.5
 
 
+def test_ewma_has_a_keys_whole_history(spark):
+    rows = [(k, i, None if i % 97 == 5 else float((i * 37) % 11) + (1000.0 if i < 20 else 0.0)) for k in ("a", "b", None) for i in range(700)]
+    want = {}
+    for k in ("a", "b", None):
+        average = None
+        for _, i, v in sorted((x for x in rows if x[0] == k), key=lambda x: x[1]):
+            average = average if v is None else v if average is None else average + 0.01 * (v - average)
+            want[k, i] = average
+    got = {(x["k"], x["i"]): x["ewma"] for x in st.ewma(spark.createDataFrame(rows[::-1], "k string, i int, v double"), ["k"], "i", "v", 0.01).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([("a", 10, "x"), ("a", 10, "y"), ("a", 40, "x"), ("b", 5, "y")], "k string, t long, e string")
     assert values(sq.time_interval(df, ["k"], "t", ["e"])) == [("a", "x", 30), ("a", "y", 0)]
