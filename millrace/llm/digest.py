@@ -1,18 +1,20 @@
 """Percentiles of very large numeric columns from mergeable dyadic-tree digests.
 
-Values are quantized to a bounded ordered universe, the integers of [-2^(BITS-1), 2^(BITS-1)); values beyond it are held
-at its ends, which keeps their order. The universe is the leaves of a dyadic tree, whose nodes carry counts. A digest of
-n values keeps a node apart from its parent only if the node, its sibling and its parent together hold more than n / k:
+Values are quantized to the 2^64 codes of an ordered universe: a long is its own code, a double is coded by its bits so
+that codes have the order of the values. Nothing is clipped or floored, so the leaves are exact. The codes are the leaves
+of a dyadic tree whose nodes carry counts; a node is (height, code): the 2^height codes from ``code`` on. A digest of n
+values keeps a node apart from its parent only if the node, its sibling and its parent together hold more than n / k:
 smaller ones are moved up to the parent. A count moved up loses its place within its node's range only, so the rank of
 any value is wrong by at most (BITS + 1) * n / k, whatever the values or their order: with k = (BITS + 1) / error, by
 error * n. No inner node ever holds more than n / k, so compressing again does not add to the bound.
 
 Digests merge by adding the counts of equal nodes; inner nodes of the parts hold n_i / k each at most, so those of the
-whole hold n / k and the bound stays. Each task builds digests of the rows it reads, one per group, so the shuffle
-carries nodes, not rows, and a hot group costs a few thousand nodes a task.
+whole hold n / k and the bound stays. Each task builds digests of the rows it reads, one per group, and adds up those of
+its groups again after every merge. A merge goes by (group, salt) first and by group then; both run over nodes in order
+of the group and compress as they read, so a task holds one digest and a buffer, however many nodes a hot group has.
 
-Null values are left out; a null group is a group. NaN and infinite values of floating columns are left out as well.
-Groups without values give no row. Ties and repeated rows count as often as they occur.
+Null values and NaN are left out; infinite values count, at the ends; -0.0 is 0.0. A null group is a group. Groups without
+values give no row. Ties and repeated rows count as often as they occur. Decimals are taken as doubles.
 """
 
 from __future__ import annotations
@@ -20,138 +22,316 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import LongType
+from pyspark.sql.types import IntegerType, LongType
 
-#: Bits of the universe; counts of bytes up to 2^47 either way.
-BITS = 48
-OFFSET = 1 << (BITS - 1)
+#: Bits of the universe.
+BITS = 64
+#: Sub-groups of a merge.
+SALTS = 16
+#: Nodes a task holds before it compresses, or hands on, what it has.
+BUFFER = 1_000_000
 
+_SIGN = np.uint64(1 << 63)
+_LOW = np.uint64((1 << 63) - 1)
+_TYPES = ("bigint", "double")
 
-def leaves(values: np.ndarray) -> np.ndarray:
-    """Tree nodes of integer values: the root is 1, the children of v are 2v and 2v + 1."""
-    return np.clip(values, -OFFSET, OFFSET - 1).astype(np.int64) + OFFSET + (1 << BITS)
 
+def codes(values: np.ndarray) -> np.ndarray:
+    """Codes (as signed integers, in the order of the values) of longs or doubles."""
+    if values.dtype.kind != "f":
+        return values.astype(np.int64)
+    bits = (values.astype(np.float64) + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, bits ^ _LOW, bits).view(np.int64)
 
-def _level(nodes: np.ndarray) -> np.ndarray:
-    """Depth of the nodes, from the exact binary exponent."""
-    return np.frexp(nodes.astype(float))[1].astype(np.int64) - 1
 
+def values_of(signed: np.ndarray, kind: str) -> np.ndarray:
+    """The values of signed codes; codes beyond the infinities are held at them."""
+    if kind == "bigint":
+        return signed
+    lo, hi = codes(np.array([-np.inf, np.inf]))
+    bits = np.clip(signed, lo, hi).view(np.uint64)
+    return np.where(bits & _SIGN, bits ^ _LOW, bits).view(np.float64)
 
-def add_up(nodes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids, place = np.unique(nodes, return_inverse=True)
-    return ids, np.bincount(place, weights=counts, minlength=len(ids)).astype(np.int64) if len(ids) else counts
 
+def _grouped(height: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes in order of their lower end, outer ones first, equal ones added up."""
+    order = np.lexsort((-height, low))
+    height, low, counts = height[order], low[order], counts[order]
+    first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (height[1:] != height[:-1])])
+    return height[first], low[first], np.add.reduceat(counts, first) if len(first) else counts
 
-def compress(nodes: np.ndarray, counts: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
-    """Move families of at most n / k up to their parents, level by level from the leaves; nodes are distinct."""
-    limit = counts.sum() / k
+
+def compress(height: np.ndarray, node: np.ndarray, counts: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adds up equal nodes and moves families of at most n / k up to their parents, level by level from the leaves.
+
+    A node without sibling or parent goes up as far as it stays alone, so only places where nodes meet need work.
+    """
+    h, low, c = _grouped(height.astype(np.int64), node.view(np.uint64) ^ _SIGN, counts)
+    limit = c.sum() / k if len(c) else 0
     if limit < 1:
-        return nodes, counts
-    level = _level(nodes)
-    kept_n, kept_c = [], []
-    here_n, here_c = np.empty(0, np.int64), np.empty(0, np.int64)
-    for at in range(BITS, 0, -1):
-        own = level == at
-        here_n, here_c = add_up(np.concatenate([here_n, nodes[own]]), np.concatenate([here_c, counts[own]]))
-        if not len(here_n):
+        return h, (low ^ _SIGN).view(np.int64), c
+    kept = []
+    for at in range(1, BITS + 1):
+        key = low >> np.uint64(at) if at < BITS else np.zeros(len(low), np.uint64)
+        joined = (key[1:] == key[:-1]) & (h[1:] <= at) & (h[:-1] <= at)
+        if not joined.any() and at > 1:
             continue
-        parent = here_n >> 1
-        families, place = np.unique(parent, return_inverse=True)
-        together = np.bincount(place, weights=here_c)
-        above = level == at - 1
-        order = np.argsort(nodes[above])
-        ids, cs = nodes[above][order], counts[above][order]
-        spot = np.searchsorted(ids, families)
-        hit = (spot < len(ids)) & (ids[np.minimum(spot, len(ids) - 1)] == families) if len(ids) else np.zeros(len(families), bool)
-        together[hit] += cs[spot[hit]]
-        small = (together <= limit)[place]
-        kept_n.append(here_n[~small])
-        kept_c.append(here_c[~small])
-        here_n, here_c = parent[small], here_c[small]
-    own = level == 0
-    here_n, here_c = add_up(np.concatenate([here_n, nodes[own]]), np.concatenate([here_c, counts[own]]))
-    return np.concatenate([*kept_n, here_n]), np.concatenate([*kept_c, here_c])
-
-
-def quantiles(nodes: np.ndarray, counts: np.ndarray, shares: list[float]) -> list[int]:
+        first = np.flatnonzero(np.r_[True, ~joined])
+        size = np.diff(np.r_[first, len(h)])
+        together = np.add.reduceat(c, first)
+        up = (size > 1) & (together <= limit)
+        stay = np.repeat(together > limit, size) & (h < at)  # children that are too large together; their parent goes on
+        kept.append((np.full(stay.sum(), at - 1), low[stay] & _mask(at - 1), c[stay]))
+        h[first[up]], c[first[up]] = at, together[up]
+        low[first[up]] &= _mask(at)
+        rest = ~stay
+        rest[np.setdiff1d(np.flatnonzero(np.repeat(up, size)), first[up], assume_unique=True)] = False
+        h, low, c = h[rest], low[rest], c[rest]
+    kept.append((np.full(len(h), BITS), np.zeros(len(h), np.uint64), c))
+    h, low, c = (np.concatenate(x) for x in zip(*kept, strict=True))
+    return h, (low ^ _SIGN).view(np.int64), c
+
+
+def _mask(height: int) -> np.uint64:
+    return np.uint64(0) if height >= BITS else np.uint64((1 << 64) - (1 << height))
+
+
+def quantiles(height: np.ndarray, node: np.ndarray, counts: np.ndarray, shares: list[float], kind: str = "bigint") -> np.ndarray:
     """Values whose ranks are within the digest's bound of share * n: nodes in order of their upper ends, small ones first."""
-    depth = BITS - _level(nodes)
-    upper = ((nodes + 1) << depth) - 1 - (1 << BITS) - OFFSET
-    order = np.lexsort((-nodes, upper))
+    upper = ((node.view(np.uint64) ^ _SIGN) | ~np.array([_mask(int(x)) for x in range(BITS + 1)], np.uint64)[height]) ^ _SIGN
+    upper = upper.view(np.int64)
+    order = np.lexsort((height, upper))
     cumulated = np.cumsum(counts[order])
     ranks = np.maximum(1, np.ceil(np.array(shares) * cumulated[-1]))
-    return [int(x) for x in upper[order][np.minimum(np.searchsorted(cumulated, ranks), len(order) - 1)]]
+    return values_of(upper[order][np.minimum(np.searchsorted(cumulated, ranks), len(order) - 1)], kind)
+
+
+class _Held:
+    """Digests of groups, compressed as they grow."""
+
+    def __init__(self, k: float):
+        self.k, self.parts, self.loose, self.size = k, {}, {}, 0
+
+    def add(self, key: tuple, nodes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        self.parts.setdefault(key, []).append(nodes)
+        self.loose[key] = self.loose.get(key, 0) + len(nodes[0])
+        self.size += len(nodes[0])
+        if self.loose[key] > BUFFER:
+            self.settle(key)
+
+    def settle(self, key: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = self.parts[key]
+        before = sum(len(p[0]) for p in parts)
+        one = compress(*(np.concatenate(x) for x in zip(*parts, strict=True)), self.k)
+        self.parts[key], self.loose[key] = [one], 0
+        self.size -= before - len(one[0])
+        return one
+
+    def drain(self) -> Iterator[tuple[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        for key in list(self.parts):
+            yield key, self.settle(key)
+        self.__init__(self.k)
+
+
+_NAN = float("nan")
+
+
+def _runs(columns: list[pa.Array], rows: int, ordered: bool) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(key, row numbers) of the rows of each key of a batch; ``ordered``: in the order of the rows, which has keys together."""
+    code = np.zeros(rows, np.int64)
+    for c in columns:
+        d = c.dictionary_encode(null_encoding="encode")
+        code = np.unique(code * (len(d.dictionary) + 1) + d.indices.to_numpy(), return_inverse=True)[1]
+    order = np.arange(rows) if ordered else np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]]) if rows else []
+    for i, lo in enumerate(first):
+        at = order[lo : first[i + 1] if i + 1 < len(first) else rows]
+        key = (c[int(at[0])].as_py() for c in columns)
+        yield tuple(_NAN if isinstance(x, float) and x != x else x for x in key), at
+
+
+def _emit(groups: Iterator, types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of about 64,000 nodes, however many small groups they take."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        sizes = [len(g[1][0]) for g in held]
+        columns = [pa.array([g[0][i] for g in held], t).take(pa.array(np.repeat(np.arange(len(held)), sizes))) for i, t in enumerate(types)]
+        h, low, c = (np.concatenate(x) for x in zip(*[g[1] for g in held], strict=True))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(h.astype(np.int32)), pa.array(low), pa.array(c)], names=[*names, "height", "node", "n"])
+
+    for g in groups:
+        held.append(g)
+        size += len(g[1][0])
+        if size > 64_000:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _adder(keys: int, types: list[pa.DataType], names: list[str], k: float, ordered: bool):
+    """Adds up digest nodes of equal keys in a task. ``ordered``: the task's rows are in order of the keys, so each can be
+    handed on when the next begins; else what is held is handed on whenever there are more than BUFFER nodes of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(k)
+
+        def groups() -> Iterator:
+            last = None
+            for b in batches:
+                h, low, c = (b.column(keys + i).to_numpy() for i in range(3))
+                for key, rows in _runs(b.columns[:keys], b.num_rows, ordered):
+                    if ordered and key != last and last in held.parts:
+                        yield last, held.settle(last)
+                        held.size -= len(held.parts.pop(last)[0][0])
+                    last = key
+                    held.add(key, (h[rows], low[rows], c[rows]))
+                if not ordered and held.size > BUFFER:
+                    yield from held.drain()
+            yield from held.drain()
 
+        yield from _emit(groups(), types, names)
 
-def digests(df: DataFrame, keys: dict[str, Column], value: Column, error: float = 0.01, buffer: int = 1_000_000) -> DataFrame:
-    """Digest nodes per group: the keys, node, n. Any union of such rows over days or partitions is again a digest.
+    return run
 
-    Within a task the values are counted and compressed whenever ``buffer`` rows have been read, each
-    time over the digest so far.
+
+def _reader(keys: int, types: list[pa.DataType], names: list[str], k: float):
+    """Digests of the values a task reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(k)
+
+        def groups() -> Iterator:
+            pending: list[pa.RecordBatch] = []
+            rows = 0
+
+            def absorb() -> None:
+                v = codes(np.concatenate([b.column(keys).to_numpy() for b in pending]))
+                columns = [pa.concat_arrays([b.column(i) for b in pending]) for i in range(keys)]
+                for key, at in _runs(columns, len(v), False):
+                    own, counts = np.unique(v[at], return_counts=True)
+                    held.add(key, (np.zeros(len(own), np.int64), own, counts.astype(np.int64)))
+
+            for b in batches:
+                pending.append(b)
+                rows += b.num_rows
+                if rows >= BUFFER // 4:
+                    absorb()
+                    pending, rows = [], 0
+                    if held.size > 4 * BUFFER:
+                        yield from held.drain()
+            if rows:
+                absorb()
+            yield from held.drain()
+
+        yield from _emit(groups(), types, names)
+
+    return run
+
+
+def digests(df: DataFrame, keys: dict[str, Column], value: Column, error: float = 0.01) -> DataFrame:
+    """Digest nodes per group: the keys, height, node, n. Any union of such rows over days or partitions is again a digest.
+
+    Whole and decimal numbers only. Nodes of long values are to be read as bigint, of all others as double: see ``value_kind``.
     """
     names = list(keys)
     source = df.select(*[c.alias(k) for k, c in keys.items()], value.alias("_v")).where("_v is not null")
-    if dict(source.dtypes)["_v"] in ("double", "float"):
-        source = source.where("not isnan(_v) and abs(_v) < double('infinity')").withColumn("_v", F.least(F.greatest(F.floor("_v"), F.lit(-(2.0**62))), F.lit(2.0**62)))
-    source = source.withColumn("_v", F.col("_v").cast("long"))
-    schema = source.drop("_v").schema.add("node", LongType()).add("n", LongType())
-    k = (BITS + 1) / error
+    kind = _kind(source)
+    source = source.withColumn("_v", F.col("_v").cast(kind))
+    if kind == "double":
+        source = source.where("not isnan(_v)")
+    schema = source.drop("_v").schema.add("height", IntegerType()).add("node", LongType()).add("n", LongType())
     types = [to_arrow_type(f.dataType) for f in schema.fields[: len(names)]]
+    nodes = source.mapInArrow(_reader(len(names), types, names, (BITS + 1) / error), schema)
+    return _shuffled(nodes, names, error)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        pending: list[pa.RecordBatch] = []
-        rows = 0
-
-        def absorb() -> None:
-            nonlocal pending, rows
-            t = pa.Table.from_batches(pending).to_pandas()
-            for key, v in t.groupby(names, dropna=False, sort=False)["_v"]:
-                key = tuple(None if x is None or x is pd.NaT or x != x else x for x in (key if isinstance(key, tuple) else (key,)))
-                new = leaves(v.to_numpy())
-                old = held.get(key, (np.empty(0, np.int64), np.empty(0, np.int64)))
-                both = add_up(np.concatenate([old[0], new]), np.concatenate([old[1], np.ones(len(new), np.int64)]))
-                held[key] = compress(*both, k)
-            pending, rows = [], 0
 
-        for b in batches:
-            pending.append(b)
-            rows += b.num_rows
-            if rows >= buffer:
-                absorb()
-        if rows:
-            absorb()
-        for key, (nodes, counts) in held.items():
-            columns = [pa.array([x] * len(nodes), t) for x, t in zip(key, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes), pa.array(counts)], names=[*names, "node", "n"])
+def value_kind(df: DataFrame, value: Column) -> str:
+    """The kind of number that the digests of a column hold: bigint or double."""
+    return _kind(df.select(value.alias("_v")))
+
+
+def _kind(source: DataFrame) -> str:
+    name = dict(source.dtypes)["_v"]
+    if name in ("tinyint", "smallint", "int", "bigint"):
+        return "bigint"
+    if name in ("float", "double") or name.startswith("decimal"):
+        return "double"
+    raise TypeError(f"no numbers: {name}")
+
+
+def _types(nodes: DataFrame, names: list[str]) -> list[pa.DataType]:
+    kinds = {f.name: f.dataType for f in nodes.schema.fields}
+    return [to_arrow_type(kinds[n]) for n in names]
 
-    return source.mapInArrow(run, schema).groupBy(*names, "node").agg(F.sum("n").alias("n"))
 
+def _shuffled(nodes: DataFrame, names: list[str], error: float) -> DataFrame:
+    """One digest per group: added up by (group, salt), then by group, each in a sweep over sorted nodes."""
+    x, k = nodes.select(*names, "height", "node", "n"), (BITS + 1) / error
+    schema, types = x.schema, _types(nodes, names)
+    salted = x.withColumn("_s", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    for by in ([*names, "_s"], names):
+        salted = salted.repartition(*by).sortWithinPartitions(*by).select(*names, "height", "node", "n").mapInArrow(_adder(len(names), types, names, k, True), schema)
+    return salted
 
-def merge(nodes: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """Digests of coarser groups (weeks of days, all plans ...) by node addition."""
-    return nodes.select(*[c.alias(k) for k, c in keys.items()], "node", "n").groupBy(*keys, "node").agg(F.sum("n").alias("n"))
+
+def merge(nodes: DataFrame, keys: dict[str, Column], error: float = 0.01) -> DataFrame:
+    """Digests of coarser groups (weeks of days, all plans ...) by node addition, in the tasks first."""
+    x = nodes.select(*[c.alias(k) for k, c in keys.items()], "height", "node", "n")
+    names = list(keys)
+    x = x.mapInArrow(_adder(len(names), _types(x, names), names, (BITS + 1) / error, False), x.schema)
+    return _shuffled(x, names, error)
 
 
-def percentiles(nodes: DataFrame, keys: list[str], shares: list[float], error: float = 0.01) -> DataFrame:
+def percentiles(nodes: DataFrame, keys: list[str], shares: list[float], error: float = 0.01, kind: str = "bigint") -> DataFrame:
     """keys, n, share, value, max_rank_error: the value whose rank is within error * n of share * n.
 
-    Per group it compresses the merged nodes and reads off the percentiles; the nodes of a group are bounded by its
-    tasks' digests, not by its rows.
+    ``nodes``: digests of these keys, as ``digests`` and ``merge`` give them (a group's nodes in one task, together).
     """
-    k = (BITS + 1) / error
-    fields = [f for f in nodes.schema.fields if f.name in keys]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted(fields, key=lambda f: keys.index(f.name)))
+    if kind not in _TYPES:
+        raise ValueError(f"{kind} is none of {_TYPES}")
+    x = nodes.select(*keys, "height", "node", "n")
+    types = _types(x, keys)
+    fields = x.select(*keys).schema.add("n", LongType())
+    out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields.fields], "share double", f"value {kind}", "max_rank_error bigint"])
+    number = pa.int64() if kind == "bigint" else pa.float64()
+
+    def rows(head: list[tuple], ns: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
+        m = len(shares)
+        columns = [pa.array([h[i] for h in head for _ in range(m)], t) for i, t in enumerate(types)]
+        n = np.repeat(np.array(ns, np.int64), m)
+        columns += [pa.array(n), pa.array(list(shares) * len(head), pa.float64()), pa.array(np.concatenate(values), number), pa.array(np.floor(error * n).astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, "n", "share", "value", "max_rank_error"])
 
-    def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, counts = compress(pdf["node"].to_numpy(), pdf["n"].to_numpy(), k)
-        n = int(counts.sum())
-        head = {c: [pdf[c].iloc[0]] * len(shares) for c in keys}
-        return pd.DataFrame(head | {"n": n, "share": shares, "value": quantiles(ids, counts, shares), "max_rank_error": int(np.floor(error * n))})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        head, ns, values = [], [], []
+
+        def close() -> None:
+            h, low, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            head.append(last)
+            ns.append(int(c.sum()))
+            values.append(quantiles(h, low, c, shares, kind))
+
+        for b in batches:
+            h, low, c = (b.column(len(keys) + i).to_numpy() for i in range(3))
+            for key, at in _runs(b.columns[: len(keys)], b.num_rows, True):
+                if held and key != last:
+                    close()
+                    held = []
+                last = key
+                held.append((h[at].astype(np.int64), low[at], c[at]))
+            if len(head) > 5_000:
+                yield rows(head, ns, values)
+                head, ns, values = [], [], []
+        if held:
+            close()
+        if head:
+            yield rows(head, ns, values)
 
-    return nodes.groupBy(*keys).applyInPandas(read, f"{out}, n bigint, share double, value bigint, max_rank_error bigint")
+    return x.mapInArrow(read, out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import digest, mixing, packing, spans
 from millrace.llm.tokens import token_sizes
-from millrace.operators.common import broadcast_if_small, cut
+from millrace.operators.common import broadcast_if_small, cut, written
 from millrace.sources.tables import read
 
 SHARES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999]
@@ -27,15 +27,14 @@ def _daily_digests(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Per plan: percentiles of every loading day, of every month and of all days, the latter two from the days' digests."""
-    days = _daily_digests(spark, d)
-    periods = F.array(
-        F.struct(F.lit("day").alias("period"), F.col("day").alias("start")),
-        F.struct(F.lit("month").alias("period"), F.trunc("day", "month").alias("start")),
-        F.struct(F.lit("all").alias("period"), F.lit(None).cast("date").alias("start")),
-    )
-    x = days.select("plan_name", "node", "n", F.inline(periods))
-    keys = ["plan_name", "period", "start"]
-    return digest.percentiles(digest.merge(x, {k: F.col(k) for k in keys}), keys, SHARES, ERROR)
+    days = written(_daily_digests(spark, d))
+    months = written(digest.merge(days, {"plan_name": F.col("plan_name"), "start": F.trunc("day", "month")}, ERROR))
+    whole = digest.merge(months, {"plan_name": F.col("plan_name"), "start": F.lit(None).cast("date")}, ERROR)
+    keys, out = ["plan_name", "period", "start"], None
+    for period, nodes in (("day", days.withColumnRenamed("day", "start")), ("month", months), ("all", whole)):
+        found = digest.percentiles(nodes, ["plan_name", "start"], SHARES, ERROR).withColumn("period", F.lit(period))
+        out = found if out is None else out.unionByName(found)
+    return out.select(*keys, "n", "share", "value", "max_rank_error")
 
 
 def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -43,21 +42,47 @@ def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _daily_digests(spark, d).groupBy("plan_name", "day").agg(F.sum("n").alias("n"))
 
 
+def _bound_check(found: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, share, n, within: the exact number of ``values`` (keys, v), and whether the answers' ranks keep their bound."""
+    answers = found.groupBy(*keys).agg(F.collect_list(F.struct("share", "value", "max_rank_error")).alias("answers"))  # a row per share
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"c.{k}"))
+    counts = values.groupBy(*keys, "v").agg(F.count("*").alias("k"))
+    x = counts.alias("c").join(broadcast_if_small(answers, 10_000).alias("a"), on).select(*[F.col(f"c.{k}") for k in keys], "v", "k", F.inline("answers"))
+    x = x.groupBy(*keys, "share").agg(
+        F.sum("k").alias("n"), F.max("max_rank_error").alias("e"), F.sum(F.when(F.col("v") < F.col("value"), F.col("k")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("value"), F.col("k")).otherwise(0)).alias("upto")
+    )
+    rank = F.greatest(F.ceil(F.col("share") * F.col("n")), F.lit(1))
+    return x.select(*keys, "share", "n", ((F.col("below") - F.col("e") < rank) & (rank <= F.col("upto") + F.col("e"))).alias("within"))
+
+
 def p2_bound_check(spark: SparkSession, d: str) -> DataFrame:
     """Per plan and share, over all days: the exact number of values, and whether the digests' answer keeps the stated bound."""
     days = _daily_digests(spark, d)
-    found = digest.percentiles(digest.merge(days, {"plan_name": F.col("plan_name")}), ["plan_name"], SHARES, ERROR).select(F.col("plan_name").alias("p"), "share", "value", "max_rank_error")
-    found = broadcast_if_small(found, 10_000).groupBy("p").agg(F.collect_list(F.struct("share", "value", "max_rank_error")).alias("answers"))
-    u = read(spark, d, "usage_records").where("used is not null").select(F.lower(F.trim("plan_name")).alias("plan_name"), "used")
-    counts = u.groupBy("plan_name", "used").agg(F.count("*").alias("k")).join(broadcast_if_small(found, 10_000), F.col("plan_name").eqNullSafe(F.col("p")))
-    x = counts.select("plan_name", "used", "k", F.inline("answers")).groupBy("plan_name", "share").agg(
-        F.sum("k").alias("n"), F.max("max_rank_error").alias("e"), F.sum(F.when(F.col("used") < F.col("value"), F.col("k")).otherwise(0)).alias("below"), F.sum(F.when(F.col("used") <= F.col("value"), F.col("k")).otherwise(0)).alias("upto")
-    )
-    rank = F.greatest(F.ceil(F.col("share") * F.col("n")), F.lit(1))
-    return x.select("plan_name", "share", "n", ((F.col("below") - F.col("e") < rank) & (rank <= F.col("upto") + F.col("e"))).alias("within"))
+    found = digest.percentiles(digest.merge(days, {"plan_name": F.col("plan_name")}, ERROR), ["plan_name"], SHARES, ERROR)
+    u = read(spark, d, "usage_records").where("used is not null").select(F.lower(F.trim("plan_name")).alias("plan_name"), F.col("used").alias("v"))
+    return _bound_check(found, u, ["plan_name"])
+
+
+def p2_bound_check_months(spark: SparkSession, d: str) -> DataFrame:
+    """The same per plan and loading month."""
+    days = _daily_digests(spark, d)
+    found = digest.percentiles(digest.merge(days, {"plan_name": F.col("plan_name"), "month": F.trunc("day", "month")}, ERROR), ["plan_name", "month"], SHARES, ERROR)
+    u = read(spark, d, "usage_records").where("used is not null").select(F.lower(F.trim("plan_name")).alias("plan_name"), F.trunc(F.to_date("loaded_at"), "month").alias("month"), F.col("used").alias("v"))
+    return _bound_check(found, u, ["plan_name", "month"])
+
+
+def p2_bound_check_doubles(spark: SparkSession, d: str) -> DataFrame:
+    """The same for fractions: the share of its order that a line item's tax and discount make, per return flag."""
+    lines = read(spark, d, "lineitem").select("l_returnflag", (F.col("l_discount") * F.col("l_tax")).cast("double").alias("v"))
+    found = digest.percentiles(digest.digests(lines, {"l_returnflag": F.col("l_returnflag")}, F.col("v"), ERROR), ["l_returnflag"], SHARES, ERROR, "double")
+    return _bound_check(found, lines.where("v is not null"), ["l_returnflag"])
 
 
 P2_BOUND_SQL = f"select plan_name, unnest({SHARES})::double as share, n, true as within from (select lower(trim(plan_name)) plan_name, count(*) n from usage_records where used is not null group by 1)"
+P2_BOUND_MONTHS_SQL = f"select plan_name, month, unnest({SHARES})::double as share, n, true as within from (select lower(trim(plan_name)) plan_name, cast(date_trunc('month', loaded_at) as date) as month, count(*) n from usage_records where used is not null group by all)"
+P2_BOUND_DOUBLES_SQL = f"select l_returnflag, unnest({SHARES})::double as share, n, true as within from (select l_returnflag, count(l_discount * l_tax) n from lineitem group by 1)"
 P2_SIZES_SQL = "select lower(trim(plan_name)) plan_name, cast(loaded_at as date) as day, count(*) n from usage_records where used is not null group by all"
 
 
@@ -130,7 +155,7 @@ def p10_links(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bound_check, p2_sizes, p8_containers, p8_summary, p9_mix, p9_shares, p10_found, p10_links, p10_coverage, p10_spans)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bound_check, p2_bound_check_months, p2_bound_check_doubles, p2_sizes, p8_containers, p8_summary, p9_mix, p9_shares, p10_found, p10_links, p10_coverage, p10_spans)}
 _WINDOWS = f"""w as (select doc_id, i, hash(substr(text, i, {LENGTH})) h from (select doc_id, text, unnest(generate_series(1, length(text) - {LENGTH - 1})) i from documents where length(text) >= {LENGTH})),
 s as (select h from w group by h having count(distinct doc_id) > 1)"""
 P10_FOUND_SQL = f"""with {_WINDOWS}, k as (select distinct doc_id, h from w semi join s using (h))
@@ -143,4 +168,4 @@ k as (select distinct class_id, h from w semi join s using (h) join documents us
 l as (select a.class_id, count(distinct b.class_id) links from k a join k b on a.h = b.h and a.class_id <> b.class_id group by 1)
 select doc_id, class_id, copies, coalesce(links, 0) links from documents join f using (text) left join l using (class_id)"""
 
-SQL = {"p2_bound_check": P2_BOUND_SQL, "p2_sizes": P2_SIZES_SQL, "p10_found": P10_FOUND_SQL, "p10_coverage": P10_COVERAGE_SQL, "p10_links": P10_LINKS_SQL}
+SQL = {"p2_bound_check": P2_BOUND_SQL, "p2_bound_check_months": P2_BOUND_MONTHS_SQL, "p2_bound_check_doubles": P2_BOUND_DOUBLES_SQL, "p2_sizes": P2_SIZES_SQL, "p10_found": P10_FOUND_SQL, "p10_coverage": P10_COVERAGE_SQL, "p10_links": P10_LINKS_SQL}

@@ -24,39 +24,106 @@ def rank_ok(values, answer, share, error):
 @pytest.mark.parametrize("error", [0.3, 0.05])
 def test_compress_and_merge_keep_the_bound(error):
     r = np.random.default_rng(3)
-    parts = [r.integers(-1000, 1000, 5000), (r.pareto(1.0, 8000) * 1e5).astype(np.int64), np.full(4000, 77), np.array([2**62, -(2**62)])]
+    parts = [r.integers(-1000, 1000, 5000), (r.pareto(1.0, 8000) * 1e5).astype(np.int64), np.full(4000, 77), np.array([2**63 - 1, -(2**63), 2**62])]
     k = (digest.BITS + 1) / error
-    nodes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
     for p in parts:
-        a, b = digest.compress(*digest.add_up(digest.leaves(p), np.ones(len(p), np.int64)), k)
-        nodes, counts = digest.add_up(np.concatenate([nodes, a]), np.concatenate([counts, b]))
-    values = np.sort(np.clip(np.concatenate(parts), -digest.OFFSET, digest.OFFSET - 1))
+        one = digest.compress(np.zeros(len(p), np.int64), digest.codes(p), np.ones(len(p), np.int64), k)
+        held = tuple(np.concatenate(x) for x in zip(held, one, strict=True))
+    values = np.sort(np.concatenate(parts))
     for again in range(3):
-        assert counts.sum() == len(values) and len(set(nodes.tolist())) == len(nodes)
+        h, node, c = held
+        assert c.sum() == len(values) and (again == 0 or len(set(zip(h.tolist(), node.tolist(), strict=True))) == len(node))
         shares = [0.0, 0.01, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
-        for s, x in zip(shares, digest.quantiles(nodes, counts, shares), strict=True):
+        for s, x in zip(shares, digest.quantiles(h, node, c, shares), strict=True):
             assert rank_ok(values, x, s, error), (again, s, x)
-        nodes, counts = digest.compress(nodes, counts, k)
-    assert len(nodes) < 6 * k
+        held = digest.compress(h, node, c, k)
+        assert all(n <= len(values) / k for n, x in zip(held[2], held[0], strict=True) if x > 0)
+    assert len(held[1]) < 6 * k
+
+
+def test_compress_is_the_level_by_level_rule():
+    """Against a plain dictionary version of the rule."""
+    def plain(nodes, k):
+        n = sum(nodes.values())
+        nodes = dict(nodes)
+        for at in range(digest.BITS):
+            for (h, low) in [x for x in nodes if x[0] == at]:
+                if (h, low) not in nodes:
+                    continue
+                up = low & ~((1 << (at + 1)) - 1)
+                family = [(at, up), (at, up | (1 << at)), (at + 1, up)]
+                total = sum(nodes.get(f, 0) for f in family)
+                if total <= n / k:
+                    for f in family:
+                        nodes.pop(f, None)
+                    nodes[(at + 1, up)] = total
+        return nodes
+
+    r = random.Random(1)
+    for trial in range(60):
+        span = r.choice([20, 300, 2**63])
+        nodes = Counter((0, r.randrange(span)) for _ in range(r.randint(1, 200)))
+        k = r.choice([1.5, 4, 20, 70])
+        nodes = plain(nodes, 3 * k) if trial % 2 else nodes
+        for _ in range(r.randint(0, 60)):
+            nodes[(0, r.randrange(span))] = nodes.get((0, r.randrange(span)), 0) + 1
+        h, low, c = (np.array(x, np.int64) for x in ([n[0] for n in nodes], [(n[1] ^ (1 << 63)) - (1 << 64) * ((n[1] ^ (1 << 63)) >> 63) for n in nodes], list(nodes.values())))
+        h2, low2, c2 = digest.compress(h, low, c, k)
+        got = {(int(a), int(b) % (1 << 64) ^ (1 << 63)): int(n) for a, b, n in zip(h2, low2, c2, strict=True)}
+        want = {x: n for x, n in plain(nodes, k).items() if n} if sum(nodes.values()) >= k else {x: n for x, n in nodes.items()}
+        assert got == want, (trial, k)
+
+
+def test_codes_keep_the_order_of_doubles():
+    v = np.array([-np.inf, -1e300, -2.5, -5e-324, 0.0, 5e-324, 0.001, 1.0, 1e300, np.inf])
+    assert (np.diff(digest.codes(v)) > 0).all() and (digest.values_of(digest.codes(v), "double") == v).all()
+    assert digest.codes(np.array([-0.0]))[0] == digest.codes(np.array([0.0]))[0]
 
 
 def test_digests_of_groups(spark):
     r = random.Random(5)
     rows = [(r.choice(["hot"] * 8 + ["x", None]), r.choice(["2024-01-01", "2024-01-02", None]), r.choice([None, 5, r.randint(-(10**6), 10**6), int(r.paretovariate(1) * 1000)])) for _ in range(6000)] + [("empty", "2024-01-01", None)]
     df = spark.createDataFrame(rows, "g string, d string, v long").withColumn("node", F.lit("clash")).repartition(5)
-    days = digest.digests(df, {"g": F.col("g"), "day": F.to_date("d")}, F.col("v"), 0.1, buffer=500)
-    got = digest.percentiles(digest.merge(days, {"g": F.col("g")}), ["g"], [0.5, 0.9], 0.1).collect()
+    days = digest.digests(df, {"g": F.col("g"), "day": F.to_date("d")}, F.col("v"), 0.1)
+    got = digest.percentiles(digest.merge(days, {"g": F.col("g")}, 0.1), ["g"], [0.5, 0.9], 0.1).collect()
     by = defaultdict(list)
     for g, _, v in rows:
         if v is not None:
             by[g].append(v)
-    assert {x["g"]: x["n"] for x in got} == {g: len(v) for g, v in by.items()}
+    assert {x["g"]: x["n"] for x in got} == {g: len(v) for g, v in by.items()} and len(got) == 2 * len(by)
     assert all(rank_ok(np.sort(by[x["g"]]), x["value"], x["share"], 0.1) for x in got)
     exact = digest.percentiles(digest.digests(df, {"g": F.col("g")}, F.col("v"), 1e-9), ["g"], [0.5], 1e-9).collect()
     assert all(x["value"] == sorted(by[x["g"]])[(len(by[x["g"]]) + 1) // 2 - 1] for x in exact)
     assert digest.percentiles(digest.digests(df.limit(0), {"g": F.col("g")}, F.col("v")), ["g"], [0.5]).collect() == []
-    doubles = spark.createDataFrame([("a", float("nan")), ("a", float("inf")), ("a", 2.9), ("a", -1e300)], "g string, v double")
-    assert [x["value"] for x in digest.percentiles(digest.digests(doubles, {"g": F.col("g")}, F.col("v")), ["g"], [1.0, 0.1]).collect()] == [2, -digest.OFFSET]
+    with pytest.raises(TypeError):
+        digest.digests(df, {"g": F.col("g")}, F.col("d"))
+
+
+def test_digests_of_any_number(spark):
+    """Longs beyond 2^47, fractions, infinities, decimals."""
+    big = spark.createDataFrame([(2**47 + i,) for i in range(1000)], "v long").repartition(3)
+    at = lambda df, kind: [x["value"] for x in digest.percentiles(digest.digests(df, {"g": F.lit(1)}, F.col("v"), 0.01), ["g"], [0.1, 0.5, 0.9], 0.01, kind).orderBy("share").collect()]
+    assert all(abs(x - 2**47 - 1000 * s) <= 11 for x, s in zip(at(big, "bigint"), (0.1, 0.5, 0.9), strict=True))
+    small = spark.createDataFrame([(i / 1000,) for i in range(1000)], "v double").repartition(3)
+    assert all(abs(x - s) <= 0.011 for x, s in zip(at(small, "double"), (0.1, 0.5, 0.9), strict=True))
+    assert at(small.select(F.col("v").cast("decimal(10,3)").alias("v")), "double") == at(small, "double")
+    ends = spark.createDataFrame([("a", float("nan")), ("a", float("inf")), ("a", 2.9), ("a", -1e300)], "g string, v double")
+    got = digest.percentiles(digest.digests(ends, {"g": F.col("g")}, F.col("v")), ["g"], [1.0, 0.5, 0.1], kind="double").orderBy("share").collect()
+    assert [x["value"] for x in got] == [-1e300, 2.9, float("inf")] and {x["n"] for x in got} == {3}
+
+
+def test_hot_group_is_added_up_in_pieces(spark, monkeypatch):
+    """A group's nodes are compressed as they are read, whatever their number."""
+    held = digest._Held(650 / 0.5)
+    monkeypatch.setattr(digest, "BUFFER", 2_000)
+    r = np.random.default_rng(1)
+    most = 0
+    for _ in range(200):
+        v = r.integers(0, 10**9, 500)
+        held.add((1,), (np.zeros(500, np.int64), v, np.ones(500, np.int64)))
+        most = max(most, held.size)
+    assert most < 12_000 and held.settle((1,))[2].sum() == 100_000
 
 
 # Packing
