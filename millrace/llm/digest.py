@@ -10,8 +10,9 @@ error * n. No inner node ever holds more than n / k, so compressing again does n
 
 Digests merge by adding the counts of equal nodes; inner nodes of the parts hold n_i / k each at most, so those of the
 whole hold n / k and the bound stays. Each task builds digests of the rows it reads, one per group, and adds up those of
-its groups again after every merge. A merge goes by (group, salt) first and by group then; both run over nodes in order
-of the group and compress as they read, so a task holds one digest and a buffer, however many nodes a hot group has.
+its groups again after every merge. A merge of the digests of many tasks goes by (group, salt) first and by group then; both
+run over nodes in order of the group and compress as they read, so a task holds one digest and a buffer, however many
+nodes a hot group has, and the nodes that reach a group's last task are bounded by the salts, not the tasks.
 
 Null values and NaN are left out; infinite values count, at the ends; -0.0 is 0.0. A null group is a group. Groups without
 values give no row. Ties and repeated rows count as often as they occur. Decimals are taken as doubles.
@@ -30,8 +31,8 @@ from pyspark.sql.types import IntegerType, LongType
 
 #: Bits of the universe.
 BITS = 64
-#: Sub-groups of a merge.
-SALTS = 16
+#: Tasks whose digests of one group a task of a merge is meant to read; beyond it a merge goes by (group, salt) first.
+FAN_IN = 64
 #: Nodes a task holds before it compresses, or hands on, what it has.
 BUFFER = 1_000_000
 
@@ -248,7 +249,9 @@ def digests(df: DataFrame, keys: dict[str, Column], value: Column, error: float
     schema = source.drop("_v").schema.add("height", IntegerType()).add("node", LongType()).add("n", LongType())
     types = [to_arrow_type(f.dataType) for f in schema.fields[: len(names)]]
     nodes = source.mapInArrow(_reader(len(names), types, names, (BITS + 1) / error), schema)
-    return _shuffled(nodes, names, error)
+    scan = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return _shuffled(nodes, names, error, int(scan) // int(split))
 
 
 def value_kind(df: DataFrame, value: Column) -> str:
@@ -270,14 +273,18 @@ def _types(nodes: DataFrame, names: list[str]) -> list[pa.DataType]:
     return [to_arrow_type(kinds[n]) for n in names]
 
 
-def _shuffled(nodes: DataFrame, names: list[str], error: float) -> DataFrame:
-    """One digest per group: added up by (group, salt), then by group, each in a sweep over sorted nodes."""
+def _shuffled(nodes: DataFrame, names: list[str], error: float, tasks: int) -> DataFrame:
+    """One digest per group, in a sweep over sorted nodes: by (group, salt) first if there are many tasks, then by group."""
     x, k = nodes.select(*names, "height", "node", "n"), (BITS + 1) / error
     schema, types = x.schema, _types(nodes, names)
-    salted = x.withColumn("_s", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    for by in ([*names, "_s"], names):
-        salted = salted.repartition(*by).sortWithinPartitions(*by).select(*names, "height", "node", "n").mapInArrow(_adder(len(names), types, names, k, True), schema)
-    return salted
+    salts = min(-(-tasks // FAN_IN), FAN_IN * FAN_IN)
+    rounds = [names]
+    if salts > 1:
+        x = x.withColumn("_s", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        rounds = [[*names, "_s"], names]
+    for by in rounds:
+        x = x.repartition(*by).sortWithinPartitions(*by).select(*names, "height", "node", "n").mapInArrow(_adder(len(names), types, names, k, True), schema)
+    return x
 
 
 def merge(nodes: DataFrame, keys: dict[str, Column], error: float = 0.01) -> DataFrame:
@@ -285,7 +292,7 @@ def merge(nodes: DataFrame, keys: dict[str, Column], error: float = 0.01) -> Dat
     x = nodes.select(*[c.alias(k) for k, c in keys.items()], "height", "node", "n")
     names = list(keys)
     x = x.mapInArrow(_adder(len(names), _types(x, names), names, (BITS + 1) / error, False), x.schema)
-    return _shuffled(x, names, error)
+    return _shuffled(x, names, error, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def percentiles(nodes: DataFrame, keys: list[str], shares: list[float], error: float = 0.01, kind: str = "bigint") -> DataFrame:

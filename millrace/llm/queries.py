@@ -28,13 +28,12 @@ def _daily_digests(spark: SparkSession, d: str) -> DataFrame:
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Per plan: percentiles of every loading day, of every month and of all days, the latter two from the days' digests."""
     days = written(_daily_digests(spark, d))
-    months = written(digest.merge(days, {"plan_name": F.col("plan_name"), "start": F.trunc("day", "month")}, ERROR))
-    whole = digest.merge(months, {"plan_name": F.col("plan_name"), "start": F.lit(None).cast("date")}, ERROR)
-    keys, out = ["plan_name", "period", "start"], None
-    for period, nodes in (("day", days.withColumnRenamed("day", "start")), ("month", months), ("all", whole)):
-        found = digest.percentiles(nodes, ["plan_name", "start"], SHARES, ERROR).withColumn("period", F.lit(period))
-        out = found if out is None else out.unionByName(found)
-    return out.select(*keys, "n", "share", "value", "max_rank_error")
+    longer = F.array(F.struct(F.lit("month").alias("period"), F.trunc("day", "month").alias("start")), F.struct(F.lit("all").alias("period"), F.lit(None).cast("date").alias("start")))
+    keys = ["plan_name", "period", "start"]
+    x = days.select("plan_name", F.inline(longer), "height", "node", "n")
+    found = digest.percentiles(digest.merge(x, {k: F.col(k) for k in keys}, ERROR), keys, SHARES, ERROR)
+    daily = digest.percentiles(days, ["plan_name", "day"], SHARES, ERROR).withColumnRenamed("day", "start").withColumn("period", F.lit("day"))
+    return daily.select(*found.columns).unionByName(found)
 
 
 def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
