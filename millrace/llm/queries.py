@@ -122,36 +122,35 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 # 10. Shared spans
 
 
+def _corpus(spark: SparkSession, d: str) -> spans.Corpus:
+    return spans.Corpus(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    found = spans.shared_spans(docs, "doc_id", "text", LENGTH, pairs_only=True)
-    return spans.document_pairs(found, spans.classes(docs, "doc_id", "text"), LENGTH)
+    corpus = _corpus(spark, d)
+    return spans.document_pairs(spans.linked_texts(corpus, LENGTH), corpus, LENGTH)
 
 
 def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    found = spans.shared_spans(docs, "doc_id", "text", LENGTH)
-    return spans.coverage(found, spans.classes(docs, "doc_id", "text"), LENGTH)
+    corpus = _corpus(spark, d)
+    return spans.coverage(spans.shared_parts(corpus, LENGTH), corpus, LENGTH)
 
 
 def p10_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The spans themselves, between class representatives (the smallest id among copies of a text)."""
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    found = spans.shared_spans(docs, "doc_id", "text", LENGTH)
-    first = spans.classes(docs, "doc_id", "text").groupBy("text_class").agg(F.min("doc_id").alias("doc_id"))
+    """The shared stretches, between class representatives (the smallest id among copies of a text)."""
+    corpus = _corpus(spark, d)
+    first = corpus.first.select("text_class", "doc_id")
     other = first.select(F.col("text_class").alias("other_class"), F.col("doc_id").alias("other_doc_id"))
-    return found.join(first, "text_class").join(other, "other_class").select("doc_id", "other_doc_id", "start", "n_chars")
+    return spans.shared_spans(corpus, LENGTH).join(first, "text_class").join(other, "other_class").select("doc_id", "other_doc_id", "start", "n_chars")
 
 
 def p10_links(spark: SparkSession, d: str) -> DataFrame:
     """One row per document: its class of copies (the smallest id) and the number of other texts it shares a span with."""
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    found = spans.shared_spans(docs, "doc_id", "text", LENGTH, pairs_only=True)
-    members = spans.classes(docs, "doc_id", "text")
-    first = members.groupBy("text_class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    links = found.groupBy("text_class").agg(F.count_distinct("other_class").alias("links"))
-    x = members.join(first, "text_class").join(links, "text_class", "left")
-    return x.select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    corpus = _corpus(spark, d)
+    both = spans.linked_texts(corpus, LENGTH).select(F.explode(F.array("a", "b")).alias("text_class"))
+    links = both.groupBy("text_class").agg(F.count("*").alias("links"))
+    first = corpus.first.select("text_class", F.col("doc_id").alias("class_id"), "copies").join(links, "text_class", "left")
+    return corpus.members.join(first, "text_class").select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bound_check, p2_bound_check_months, p2_bound_check_doubles, p2_sizes, p8_containers, p8_summary, p9_mix, p9_shares, p10_found, p10_links, p10_coverage, p10_spans)}
@@ -167,4 +166,11 @@ k as (select distinct class_id, h from w semi join s using (h) join documents us
 l as (select a.class_id, count(distinct b.class_id) links from k a join k b on a.h = b.h and a.class_id <> b.class_id group by 1)
 select doc_id, class_id, copies, coalesce(links, 0) links from documents join f using (text) left join l using (class_id)"""
 
-SQL = {"p2_bound_check": P2_BOUND_SQL, "p2_bound_check_months": P2_BOUND_MONTHS_SQL, "p2_bound_check_doubles": P2_BOUND_DOUBLES_SQL, "p2_sizes": P2_SIZES_SQL, "p10_found": P10_FOUND_SQL, "p10_coverage": P10_COVERAGE_SQL, "p10_links": P10_LINKS_SQL}
+P10_SPANS_SQL = f"""with {_WINDOWS}, f as (select text, min(doc_id) class_id from documents where text is not null group by 1),
+k as (select w.doc_id, i, h from w semi join s using (h) semi join f on f.class_id = w.doc_id),
+p as (select distinct a.doc_id, b.doc_id other_doc_id, a.i from k a join k b on a.h = b.h and a.doc_id <> b.doc_id),
+o as (select *, case when i - lag(i) over (partition by doc_id, other_doc_id order by i) <= {LENGTH} then 0 else 1 end opens from p),
+r as (select *, sum(opens) over (partition by doc_id, other_doc_id order by i) run from o)
+select doc_id, other_doc_id, cast(min(i) - 1 as int) as start, cast(max(i) - min(i) + {LENGTH} as int) n_chars from r group by doc_id, other_doc_id, run"""
+
+SQL = {"p10_spans": P10_SPANS_SQL, "p2_bound_check": P2_BOUND_SQL, "p2_bound_check_months": P2_BOUND_MONTHS_SQL, "p2_bound_check_doubles": P2_BOUND_DOUBLES_SQL, "p2_sizes": P2_SIZES_SQL, "p10_found": P10_FOUND_SQL, "p10_coverage": P10_COVERAGE_SQL, "p10_links": P10_LINKS_SQL}

@@ -228,9 +228,29 @@ def brute_cover(texts, n):
     return out
 
 
-@pytest.mark.parametrize(("seed", "often", "crowd"), [(1, 64, 100), (2, 64, 100), (3, 3, 100), (4, 1, 4), (5, 64, 2), (6, 64, 1)])
-def test_spans_against_brute_force(spark, seed, often, crowd):
-    r, n = random.Random(seed), 40
+def brute_spans(texts, n):
+    """(text, other, start, length): the stretches of each different text covered by windows that the other holds."""
+    out, first = set(), {}
+    for i, t in enumerate(texts):
+        if t is not None:
+            first.setdefault(t, i)
+    windows = {i: {t[k : k + n] for k in range(len(t) - n + 1)} for t, i in first.items()}
+    for t, i in first.items():
+        for u, j in first.items():
+            if i == j or not windows[i] & windows[j]:
+                continue
+            run = None
+            for k in [*(k for k in range(len(t) - n + 1) if t[k : k + n] in windows[j]), None]:
+                if run and (k is None or k > run[1] + n):
+                    out.add((i, j, run[0], run[1] - run[0] + n))
+                    run = None
+                if k is not None:
+                    run = (run[0] if run else k, k)
+    return out
+
+
+def texts_of(seed):
+    r = random.Random(seed)
     word = lambda k: "".join(r.choice("abcdefgh é\U0001f600") for _ in range(k))
     shared = [word(k) for k in (38, 39, 40, 41, 60, 79, 200, 33)] + ["-" * 45, "ab" * 40, " " * 300]
     texts = ["", word(39), None, shared[2], "-" * 40, "-" * 39, "ab" * 300, "ba" * 21]
@@ -240,35 +260,81 @@ def test_spans_against_brute_force(spark, seed, often, crowd):
             s = r.choice(shared)
             parts += [s[r.choice([0, 0, 1]) :], word(r.randint(0, 50))]
         texts.append("".join(parts))
-    texts += [texts[10], texts[10], texts[20], texts[3]]
+    return texts + [texts[10], texts[10], texts[20], texts[3]]
+
+
+@pytest.mark.parametrize(("seed", "often", "crowd", "local", "block"), [(1, 64, 100, 16, 20_000), (2, 64, 100, 2, 3), (4, 1, 4, 3, 2), (6, 64, 1, 1, 4), (6, 3, 1000, 1000, 20_000)])
+def test_spans_against_brute_force(spark, monkeypatch, seed, often, crowd, local, block):
+    """Pairs, spans and coverage are the same whichever way the counts choose."""
+    monkeypatch.setattr(spans, "LOCAL", local)
+    monkeypatch.setattr(spans, "BLOCK", block)
+    texts, n = texts_of(seed), 40
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("start", F.lit("clash")).repartition(3)
-    members = spans.classes(df, "doc_id", "text")
-    full = spans.shared_spans(df, "doc_id", "text", n, often, crowd)
+    corpus = spans.Corpus(df, "doc_id", "text")
+    got = [tuple(x) for x in spans.document_pairs(spans.linked_texts(corpus, n, often, crowd), corpus, n).collect()]
     want = brute_pairs(texts, n)
-    for found in (full, spans.shared_spans(df, "doc_id", "text", n, often, crowd, pairs_only=True)):
-        got = [tuple(x) for x in spans.document_pairs(found, members, n).collect()]
-        assert set(got) == want and len(got) == len(want)
-    rows = {x["doc_id"]: (x["n_chars"], x["shared_chars"]) for x in spans.coverage(full, members, n).collect()}
+    assert set(got) == want and len(got) == len(want)
+    ids = {x["text_class"]: x["doc_id"] for x in corpus.first.collect()}
+    found = [(ids[x["text_class"]], ids[x["other_class"]], x["start"], x["n_chars"]) for x in spans.shared_spans(corpus, n, often, crowd).collect()]
+    want = brute_spans(texts, n)
+    assert set(found) == want and len(found) == len(want)
+    rows = {x["doc_id"]: (x["n_chars"], x["shared_chars"]) for x in spans.coverage(spans.shared_parts(corpus, n, often, crowd), corpus, n).collect()}
     assert rows == {i: (len(t), c) for i, (t, c) in enumerate(zip(texts, brute_cover(texts, n), strict=True)) if t is not None}
 
 
+def test_keys_shared_by_chance_are_replaced(spark, monkeypatch):
+    real, F_ = F.xxhash64, spans.F
+    monkeypatch.setattr(F_, "xxhash64", lambda *c: real(*c) if len(c) > 1 else F.pmod(real(*c), F.lit(5)) * 2)
+    texts = texts_of(7)
+    corpus = spans.Corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    assert corpus.odd and corpus.first.count() == len({t for t in texts if t is not None})
+    assert {tuple(x) for x in spans.document_pairs(spans.linked_texts(corpus, 40), corpus, 40).collect()} == brute_pairs(texts, 40)
+
+
+def test_anchors_that_meet_by_chance_prove_nothing(spark):
+    """The characters decide, whatever the hashes say."""
+    x, y = "abc" * 30, "abc" * 10 + "d" + "abc" * 30
+    assert spans.shared_windows(x, "q" * 90, 40) == ([], []) and spans.shared_windows(x, y, 40) == ([(0, 90)], [(31, 90)])
+    corpus = spans.Corpus(spark.createDataFrame([(1, x), (2, y), (3, "z" * 95)], "doc_id long, text string"), "doc_id", "text")
+    ids = {r["doc_id"]: r["text_class"] for r in corpus.first.collect()}
+    rows = [(ids[a], ids[b], delta, first, first, 40, False) for a, b, delta, first in ((1, 2, 31, 0), (1, 2, 30, 0), (1, 3, 0, 10), (2, 3, 3, 7))]
+    chains = spark.createDataFrame(rows, "a long, b long, delta int, first int, last int, w int, far boolean")
+    got = {(r["text_class"], r["other_class"]) for r in spans._extended(corpus, chains, 13, 28, 40).collect()}
+    assert got == {(ids[1], ids[2]), (ids[2], ids[1])}
+
+
 def test_spans_empty_and_long(spark):
-    df = spark.createDataFrame([], "doc_id long, text string")
-    assert spans.shared_spans(df, "doc_id", "text").collect() == []
+    empty = spans.Corpus(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text")
+    assert spans.shared_spans(empty).collect() == [] and spans.linked_texts(empty).collect() == [] and spans.shared_parts(empty).collect() == []
     r = random.Random(9)
     base = "".join(r.choice("abcdefghij") for _ in range(3_300_000))
     cut = spans.CHUNK + 50
     df = spark.createDataFrame([(1, base), (2, "x" + base[cut - 100 : cut + 100] + "y"), (3, base[cut : cut + 199])], "doc_id long, text string")
-    got = spans.shared_spans(df, "doc_id", "text")
+    got = spans.shared_spans(spans.Corpus(df, "doc_id", "text"))
     assert sorted((x["start"], x["n_chars"]) for x in got.collect()) == [(1, 200), (cut - 100, 200)]
 
 
 def test_crowded_header_is_not_paired(spark):
-    """A header below the length in all texts leads to no pairs, and its windows are hashed once per text."""
+    """A header below the length in all texts leads to no pairs."""
     r = random.Random(11)
     word = lambda k: "".join(r.choice("abcdefghij") for _ in range(k))
     header, shared = word(190), word(205)
     texts = [header + word(300) + (shared if i in (3, 700) else "") for i in range(800)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = spans.shared_spans(df, "doc_id", "text")
-    assert sorted((x["start"], x["n_chars"]) for x in got.collect()) == [(490, 205), (490, 205)]
+    corpus = spans.Corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    assert sorted((x["start"], x["n_chars"]) for x in spans.shared_spans(corpus).collect()) == [(490, 205), (490, 205)]
+
+
+def test_one_header_in_all_texts(spark, monkeypatch):
+    """5,000 texts under a header of 250 characters: coverage makes no pairs, and no bucket gets the header's anchors."""
+    r = random.Random(12)
+    word = lambda k: "".join(r.choices("abcdefghij", k=k))
+    header = word(250)
+    texts = [header + word(r.randint(300, 500)) for _ in range(5000)]
+    corpus = spans.Corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8), "doc_id", "text")
+    monkeypatch.setattr(spans, "_window_pairs", None)
+    got = spans.coverage(spans.shared_parts(corpus), corpus).collect()
+    assert len(got) == 5000 and {x["shared_chars"] for x in got} <= set(range(250, 260))
+    v, w, cover = spans.cover_for(200)
+    blocks = corpus.keyed(200).mapInArrow(spans._packer(v, w, cover, 12), spans.BLOCKS).groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    sizes = [x["n"] for x in blocks]
+    assert len(sizes) == 12 and max(sizes) < 2 * sum(sizes) / 12
