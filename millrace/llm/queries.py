@@ -101,6 +101,18 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(p8_containers(spark, d), _packs(spark, d))
 
 
+SLACK = 0.01
+
+
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every text is placed once, no container is over its capacity, only larger texts are split, and at most 1 % is free."""
+    sizes = cut(token_sizes(read(spark, d, "documents"), "doc_id", "text"))
+    return packing.check(written(packing.pack(sizes, _packs(spark, d))), sizes, _packs(spark, d), SLACK)
+
+
+P8_CHECK_SQL = "select pack_name, (select count(text) from documents) texts, true placed_once, true within_capacity, true only_oversized_split, true slack_kept from pack_sizes"
+
+
 # 9. Mixing
 
 
@@ -153,7 +165,7 @@ def p10_links(spark: SparkSession, d: str) -> DataFrame:
     return corpus.members.join(first, "text_class").select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bound_check, p2_bound_check_months, p2_bound_check_doubles, p2_sizes, p8_containers, p8_summary, p9_mix, p9_shares, p10_found, p10_links, p10_coverage, p10_spans)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bound_check, p2_bound_check_months, p2_bound_check_doubles, p2_sizes, p8_containers, p8_summary, p8_check, p9_mix, p9_shares, p10_found, p10_links, p10_coverage, p10_spans)}
 _WINDOWS = f"""w as (select doc_id, i, hash(substr(text, i, {LENGTH})) h from (select doc_id, text, unnest(generate_series(1, length(text) - {LENGTH - 1})) i from documents where length(text) >= {LENGTH})),
 s as (select h from w group by h having count(distinct doc_id) > 1)"""
 P10_FOUND_SQL = f"""with {_WINDOWS}, k as (select distinct doc_id, h from w semi join s using (h))
@@ -173,4 +185,4 @@ o as (select *, case when i - lag(i) over (partition by doc_id, other_doc_id ord
 r as (select *, sum(opens) over (partition by doc_id, other_doc_id order by i) run from o)
 select doc_id, other_doc_id, cast(min(i) - 1 as int) as start, cast(max(i) - min(i) + {LENGTH} as int) n_chars from r group by doc_id, other_doc_id, run"""
 
-SQL = {"p10_spans": P10_SPANS_SQL, "p2_bound_check": P2_BOUND_SQL, "p2_bound_check_months": P2_BOUND_MONTHS_SQL, "p2_bound_check_doubles": P2_BOUND_DOUBLES_SQL, "p2_sizes": P2_SIZES_SQL, "p10_found": P10_FOUND_SQL, "p10_coverage": P10_COVERAGE_SQL, "p10_links": P10_LINKS_SQL}
+SQL = {"p8_check": P8_CHECK_SQL, "p10_spans": P10_SPANS_SQL, "p2_bound_check": P2_BOUND_SQL, "p2_bound_check_months": P2_BOUND_MONTHS_SQL, "p2_bound_check_doubles": P2_BOUND_DOUBLES_SQL, "p2_sizes": P2_SIZES_SQL, "p10_found": P10_FOUND_SQL, "p10_coverage": P10_COVERAGE_SQL, "p10_links": P10_LINKS_SQL}

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -137,11 +138,14 @@ def test_fill_is_the_best_subset():
         room = r.randint(0, 30)
         remaining = {n: r.randint(0, 3) for n in r.sample(range(1, 20), r.randint(1, 5))}
         best = max(s for s in (sum(n * c for n, c in zip(remaining, cs, strict=True)) for cs in itertools.product(*[range(c + 1) for c in remaining.values()])) if s <= room)
-        chosen = packing.fill(room, sorted(remaining, reverse=True), dict(remaining))
+        chosen = packing.fill(room, sorted(n for n, c in remaining.items() if c), dict(remaining))
         assert sum(n * c for n, c in chosen.items()) == best and all(c <= remaining[n] for n, c in chosen.items())
 
 
-def test_pack(spark):
+@pytest.mark.parametrize(("share", "ranked"), [(512, 200_000), (8, 20)])
+def test_pack(spark, monkeypatch, share, ranked):
+    monkeypatch.setattr(packing, "SHARE", share)
+    monkeypatch.setattr(packing, "RANKED", ranked)
     r = random.Random(7)
     sizes = {i: r.choice([0, 1, 3, 3, 3, r.randint(1, 60), r.randint(90, 350)]) for i in range(700)}
     df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long").withColumn("length", F.lit("clash"))
@@ -159,11 +163,30 @@ def test_pack(spark):
             assert sum(n for _, n in ps) == sizes[i] and (len(ps) == 1) == (sizes[i] <= cap)
             assert [s for s, _ in ps] == [k * cap for k in range(len(ps))]
         assert len(per) <= 1.05 * sum(sizes.values()) / cap + 1
+    checked = packing.check(packing.pack(df, packs), df, packs, 0.05).collect()
+    assert len(checked) == 2 and all(x["texts"] == 700 and x["placed_once"] and x["within_capacity"] and x["only_oversized_split"] and x["slack_kept"] for x in checked)
     assert packing.pack(df.limit(0), packs).collect() == []
     zero = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, n_tokens long")
     assert {(x["container_id"], x["n_tokens"]) for x in packing.pack(zero, packs).collect()} == {(0, 0)}
 
 
+def test_plan_of_many_lengths():
+    """Shares of a histogram with very many lengths are planned in a moment, and leave little free."""
+    r = np.random.default_rng(5)
+    lengths, n = np.unique(np.minimum(r.lognormal(8, 2, 400_000).astype(int) + 1, 131_072), return_counts=True)
+    assert len(lengths) > 30_000
+    pick = slice(5, None, 64)
+    start = time.time()
+    out = packing.plan(dict(zip(lengths[pick].tolist(), n[pick].tolist(), strict=True)), 131_072)
+    assert time.time() - start < 60
+    used = Counter()
+    for times, chosen in out:
+        assert sum(k * c for k, c in chosen.items()) <= 131_072
+        used.update({k: c * times for k, c in chosen.items()})
+    assert used == Counter(dict(zip(lengths[pick].tolist(), n[pick].tolist(), strict=True)))
+    assert sum(t for t, _ in out) <= 1.01 * (lengths[pick] * n[pick]).sum() / 131_072 + 1
+
+
 def test_token_sizes(spark):
     long_ = "word and more\n" * 200_000
     rows = [(1, ""), (2, "Hello <|endoftext|> world"), (3, None), (None, "x"), (4, "größe\U0001f600"), (5, long_), (2, "Hello <|endoftext|> world")]
