@@ -16,6 +16,9 @@ One text counts once wherever it occurs: its record with the smallest id among t
 no text is used more often than its cap allows. Records without source, id or text, and those of sources without
 a target, are not drawn; neither are texts of 0 tokens. Unless a total is given it is the largest that every source with
 texts can reach; a source without any texts has share 0, and the others keep their proportions.
+
+The solution tells per source the rounds taken, the residual (how far the tokens of the rates are from the goal, as a part
+of it) and whether it converged; a source that did not within the rounds is told so, not passed over.
 """
 
 from __future__ import annotations
@@ -45,7 +48,10 @@ def _lookup(values: dict[str, float], source: Column) -> Column:
 
 
 def solve(lengths: DataFrame, targets: list[dict], total: float | None = None, tolerance: float = 1e-9, rounds: int = 60) -> dict[str, dict]:
-    """Per source: multiplier (None where every rate is at the cap), scale, goal, available, cap. ``lengths``: source, n_tokens, n."""
+    """Per source: multiplier (None where every rate is at the cap), scale, goal, available, cap, rounds, residual, converged.
+
+    ``lengths``: source, n_tokens, n.
+    """
     sums = {r["source"]: r for r in lengths.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("tokens"), F.sum("n").alias("texts")).collect()}
     have = [t for t in targets if t["source_name"] in sums and t["target_share"] > 0 and t["max_repeats"] > 0]
     weight = sum(t["target_share"] for t in have)
@@ -59,7 +65,7 @@ def solve(lengths: DataFrame, targets: list[dict], total: float | None = None, t
         s = t["source_name"]
         goal = whole * t["target_share"] / weight
         full = goal >= reach[s] * (1 - 1e-12)
-        out[s] = {"multiplier": None if full else 0.0, "scale": sums[s]["tokens"] / sums[s]["texts"], "goal": min(goal, reach[s]), "available": sums[s]["tokens"], "cap": t["max_repeats"], "lo": -LIMIT, "hi": LIMIT}
+        out[s] = {"multiplier": None if full else 0.0, "scale": sums[s]["tokens"] / sums[s]["texts"], "goal": min(goal, reach[s]), "available": sums[s]["tokens"], "cap": t["max_repeats"], "lo": -LIMIT, "hi": LIMIT, "rounds": 0, "residual": 0.0, "converged": full}
     open_ = {s for s, v in out.items() if v["multiplier"] is not None}
     for _ in range(rounds):
         if not open_:
@@ -73,6 +79,8 @@ def solve(lengths: DataFrame, targets: list[dict], total: float | None = None, t
         for r in at:
             v = out[r["source"]]
             miss = r["f"] - v["goal"]
+            v["rounds"], v["residual"] = v["rounds"] + 1, abs(miss) / v["goal"]
+            v["converged"] = abs(miss) <= tolerance * v["goal"]
             if abs(miss) <= tolerance * v["goal"] or v["hi"] - v["lo"] < 1e-12:
                 open_.discard(r["source"])
                 continue
@@ -145,3 +153,24 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     x = targets.select(F.col("source_name").alias("source"), "target_share", "max_repeats").join(got, "source", "left").na.fill(0, ["available_tokens", "drawn_tokens", "drawn_texts", "most_copies"])
     x = x.withColumn("actual_share", F.round(F.col("drawn_tokens") / F.sum("drawn_tokens").over(Window.partitionBy()), 6))  # a row per target
     return x.select(F.col("source").alias("source_name"), "target_share", "actual_share", "available_tokens", "drawn_tokens", "drawn_texts", "most_copies", "max_repeats")
+
+
+def check(mixed: DataFrame, targets: DataFrame, solution: dict[str, dict], tolerance: float) -> DataFrame:
+    """Per target source: texts, converged, caps_kept, share_kept, largest_total.
+
+    share_kept: the drawn share differs from the target, in proportion among the sources that have texts, by at most
+    ``tolerance``. largest_total: some source with texts is used up, all its texts at the cap.
+    """
+    state = [(s, v["converged"], v["multiplier"] is None) for s, v in solution.items()]
+    state = mixed.sparkSession.createDataFrame(state, "source string, converged boolean, full boolean")  # a row per target
+    got = mixed.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("n_tokens") * F.col("copies")).alias("drawn"), F.max("copies").alias("most"), F.min("copies").alias("least"))
+    x = broadcast_if_small(targets.select(F.col("source_name").alias("source"), "target_share", "max_repeats"), 10_000).join(got, "source", "left").join(state, "source", "left")
+    every = Window.partitionBy()  # a row per target
+    share = F.col("drawn") / F.sum("drawn").over(every)
+    want = F.when(F.col("texts") > 0, F.col("target_share")) / F.sum(F.when(F.col("texts") > 0, F.col("target_share"))).over(every)
+    used_up = F.max(F.coalesce(F.col("full") & (F.col("least") == F.col("max_repeats")), F.lit(False))).over(every)
+    yes = F.lit(True)
+    return x.select(
+        F.col("source").alias("source_name"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("converged", yes).alias("converged"), F.coalesce(F.col("most") <= F.col("max_repeats"), yes).alias("caps_kept"),
+        F.coalesce(F.abs(share - want) <= tolerance, yes).alias("share_kept"), used_up.alias("largest_total"),
+    )

@@ -116,19 +116,32 @@ P8_CHECK_SQL = "select pack_name, (select count(text) from documents) texts, tru
 # 9. Mixing
 
 
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict]:
     docs = read(spark, d, "documents").where("source is not null").select("doc_id", "source", "text", F.md5("text").alias("text_key"))
     targets = read(spark, d, "mix_targets")
-    return mixing.mix(token_sizes(docs, "doc_id", "text", ["source", "text_key"]), targets)[0], targets
+    mixed, solution = mixing.mix(token_sizes(docs, "doc_id", "text", ["source", "text_key"]), targets)
+    return mixed, targets, solution
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    mixed, _ = _mixed(spark, d)
+    mixed = _mixed(spark, d)[0]
     return mixed.where("copies > 0").withColumn("rate", F.round("rate", 6))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(*_mixed(spark, d))
+    return mixing.shares(*_mixed(spark, d)[:2])
+
+
+SHARE_TOLERANCE = 0.002
+
+
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the dual is solved, no text exceeds its cap, shares are met within 0.2 points, and no larger total could be drawn."""
+    return mixing.check(*_mixed(spark, d), SHARE_TOLERANCE)
+
+
+P9_CHECK_SQL = """with t as (select text, arg_min(source, doc_id) source from documents join mix_targets on source = source_name where text <> '' group by text)
+select source_name, (select count(*) from t where t.source = source_name) texts, true converged, true caps_kept, true share_kept, true largest_total from mix_targets"""
 
 
 # 10. Shared spans
@@ -165,7 +178,7 @@ def p10_links(spark: SparkSession, d: str) -> DataFrame:
     return corpus.members.join(first, "text_class").select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bound_check, p2_bound_check_months, p2_bound_check_doubles, p2_sizes, p8_containers, p8_summary, p8_check, p9_mix, p9_shares, p10_found, p10_links, p10_coverage, p10_spans)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_bound_check, p2_bound_check_months, p2_bound_check_doubles, p2_sizes, p8_containers, p8_summary, p8_check, p9_mix, p9_shares, p9_check, p10_found, p10_links, p10_coverage, p10_spans)}
 _WINDOWS = f"""w as (select doc_id, i, hash(substr(text, i, {LENGTH})) h from (select doc_id, text, unnest(generate_series(1, length(text) - {LENGTH - 1})) i from documents where length(text) >= {LENGTH})),
 s as (select h from w group by h having count(distinct doc_id) > 1)"""
 P10_FOUND_SQL = f"""with {_WINDOWS}, k as (select distinct doc_id, h from w semi join s using (h))
@@ -185,4 +198,4 @@ o as (select *, case when i - lag(i) over (partition by doc_id, other_doc_id ord
 r as (select *, sum(opens) over (partition by doc_id, other_doc_id order by i) run from o)
 select doc_id, other_doc_id, cast(min(i) - 1 as int) as start, cast(max(i) - min(i) + {LENGTH} as int) n_chars from r group by doc_id, other_doc_id, run"""
 
-SQL = {"p8_check": P8_CHECK_SQL, "p10_spans": P10_SPANS_SQL, "p2_bound_check": P2_BOUND_SQL, "p2_bound_check_months": P2_BOUND_MONTHS_SQL, "p2_bound_check_doubles": P2_BOUND_DOUBLES_SQL, "p2_sizes": P2_SIZES_SQL, "p10_found": P10_FOUND_SQL, "p10_coverage": P10_COVERAGE_SQL, "p10_links": P10_LINKS_SQL}
+SQL = {"p9_check": P9_CHECK_SQL, "p8_check": P8_CHECK_SQL, "p10_spans": P10_SPANS_SQL, "p2_bound_check": P2_BOUND_SQL, "p2_bound_check_months": P2_BOUND_MONTHS_SQL, "p2_bound_check_doubles": P2_BOUND_DOUBLES_SQL, "p2_sizes": P2_SIZES_SQL, "p10_found": P10_FOUND_SQL, "p10_coverage": P10_COVERAGE_SQL, "p10_links": P10_LINKS_SQL}

@@ -219,6 +219,8 @@ def test_mix(spark):
         assert all(abs(x["rate"] - min(1, np.exp(v["multiplier"] * x["n_tokens"] / v["scale"]))) < 1e-9 for x in tilted)
     shares = {x["source_name"]: x["actual_share"] for x in mixing.shares(mixed, targets).collect()}
     assert shares["none"] == 0 and all(abs(shares[s] - t / 0.95) < 0.01 for s, t in (("a", 0.5), ("b", 0.25), ("c", 0.2)))
+    assert all(v["converged"] and v["residual"] <= 1e-9 for v in solution.values())
+    assert all(x["converged"] and x["caps_kept"] and x["share_kept"] and x["largest_total"] for x in mixing.check(mixed, targets, solution, 0.01).collect())
     half, small = mixing.mix(sized, targets, total=5000.0)
     assert abs(half.select(F.sum(F.col("copies") * F.col("n_tokens"))).collect()[0][0] - 5000) < 300
     assert mixing.mix(sized.limit(0), targets)[0].collect() == []
