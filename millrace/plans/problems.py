@@ -111,34 +111,40 @@ P3_PERIODS_SQL = f"with {_RUNS} select device_id, s period_start_ms, e period_en
 # 4. Nested records
 
 
-def _usage_nodes(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return nested.label_nodes(read(spark, d, "usage_docs"), "raw_id", "payload", ["datausage", "usages", *more])
-
-
-def _event_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.label_nodes(read(spark, d, "sm_event_docs"), "raw_id", "payload", ["entity", "metadata", "eventdata"])
+def _usage_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.label_nodes(read(spark, d, "usage_docs"), "raw_id", "payload", ["datausage", "usages"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    usage = nested.parent_child(_usage_nodes(spark, d), "datausage", "usages", "acctid", "deviceid")
-    event = nested.parent_child(_event_nodes(spark, d), "entity", "eventdata", "id", "eventcode", key_node="metadata")
+    usage = nested.parent_child(read(spark, d, "usage_docs"), "raw_id", "payload", "datausage", "usages", "acctid", "deviceid")
+    event = nested.parent_child(read(spark, d, "sm_event_docs"), "raw_id", "payload", "entity", "eventdata", "id", "eventcode", key_node="metadata")
     both = usage.withColumn("doc_kind", F.lit("usage")).unionByName(event.withColumn("doc_kind", F.lit("event")))
     return both.select("doc_kind", F.col("doc_id").alias("raw_id"), "parent_pos", "parent_key", "child_pos", "child_key")
 
 
 def p4_usages(spark: SparkSession, d: str) -> DataFrame:
-    """The child table of usages, each with its labels and those of its account."""
+    """The child table of usages, each with its label and that of its account."""
     f = F.col("fields")
     x = nested.link(_usage_nodes(spark, d), "datausage", "usages")
     numbers = [f["used"].try_cast("long").alias("used"), f["starttime"].try_cast("long").alias("start_ms"), f["endtime"].try_cast("long").alias("end_ms")]
-    return x.select("doc_id", "parent_pre", "pre", "post", "pos", f["deviceid"].alias("device_id"), f["plan"].alias("plan_name"), *numbers)
+    return x.select("doc_id", "parent_pre", "pre", "pos", f["deviceid"].alias("device_id"), f["plan"].alias("plan_name"), *numbers)
 
 
 def p4_accounts(spark: SparkSession, d: str) -> DataFrame:
     """The parent table of accounts."""
     f = F.col("fields")
     x = _usage_nodes(spark, d).where("node_type = 'datausage'")
-    return x.select("doc_id", "pre", "post", "pos", f["acctid"].alias("acct_id"), f["email"].alias("email"), f["phonenum"].alias("phone"))
+    return x.select("doc_id", "pre", "pos", f["acctid"].alias("acct_id"), f["email"].alias("email"), f["phonenum"].alias("phone"))
+
+
+def p4_self_parent(spark: SparkSession, d: str) -> DataFrame:
+    """Units that hold units of their own type, and items on both levels: every item with its own unit."""
+    nations = read(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
+    item = lambda c: F.array(F.struct(c.cast("string").alias("id")))
+    inner = F.transform("ns", lambda n: F.struct(n["n_name"].alias("name"), item(n["n_nationkey"]).alias("item")))
+    unit = F.struct(F.col("r_name").alias("name"), inner.alias("unit"), item(F.col("r_regionkey") + 1000).alias("item"))
+    docs = read(spark, d, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey")).select("r_regionkey", F.to_json(F.struct(unit.alias("unit"))).alias("payload"))
+    return nested.parent_child(docs, "r_regionkey", "payload", "unit", "item", "name", "id")
 
 
 def _members(nodes: str, key: str) -> str:
@@ -152,18 +158,29 @@ def _tree(table: str, key: str, text: str) -> str:
 
 
 _SCALAR = "type not in ('OBJECT', 'ARRAY', 'NULL')"
-P4_FOUND_SQL = f"""with u as ({_tree("usage_docs", "raw_id", "payload")}), um as ({_members("u", "raw_id")}),
-ux as (select p.raw_id, p.pos pp, c.pos cp, p.id pid, c.id cid from um p left join um c on c.raw_id = p.raw_id and c.holder = p.id and c.nm = 'usages' where p.nm = 'datausage'),
-ur as (select 'usage' doc_kind, x.raw_id, pp, coalesce(a.txt, '') pk, coalesce(cp, -1) cp, coalesce(b.txt, '') ck from ux x
+P4_FOUND_SQL = f"""with u as materialized ({_tree("usage_docs", "raw_id", "payload")}), um as materialized ({_members("u", "raw_id")}),
+ux as materialized (select p.raw_id, p.pos pp, c.pos cp, p.id pid, c.id cid from um p left join um c on c.raw_id = p.raw_id and c.holder = p.id and c.nm = 'usages' where p.nm = 'datausage'),
+ur as materialized (select 'usage' doc_kind, x.raw_id, pp, coalesce(a.txt, '') pk, coalesce(cp, -1) cp, coalesce(b.txt, '') ck from ux x
   left join (select * from u where lk = 'acctid' and {_SCALAR}) a on a.raw_id = x.raw_id and a.parent = pid left join (select * from u where lk = 'deviceid' and {_SCALAR}) b on b.raw_id = x.raw_id and b.parent = cid),
-e as ({_tree("sm_event_docs", "raw_id", "payload")}), em as ({_members("e", "raw_id")}),
-ep as (select raw_id || ':' || id ek, raw_id, id, pos from em where nm = 'entity'),
-ek as (select p.ek, i.txt from ep p join e m on m.raw_id = p.raw_id and m.parent = p.id and m.lk = 'metadata' and m.type = 'OBJECT' join e i on i.raw_id = m.raw_id and i.parent = m.id and i.lk = 'id' and i.{_SCALAR}),
-ed as (select p.ek, case when d.type = 'OBJECT' then cast(d.val as varchar) else d.txt end dt from ep p join e d on d.raw_id = p.raw_id and d.parent = p.id and d.lk = 'data' and d.type in ('OBJECT', 'VARCHAR')),
-v as ({_tree("ed", "ek", "dt")}), vm as ({_members("v", "ek")}),
-er as (select 'event' doc_kind, p.raw_id, p.pos pp, coalesce(ek.txt, '') pk, coalesce(c.pos, -1) cp, coalesce(t.txt, '') ck from ep p left join ek on ek.ek = p.ek
+e as materialized ({_tree("sm_event_docs", "raw_id", "payload")}), em as materialized ({_members("e", "raw_id")}),
+ep as materialized (select raw_id || ':' || id ek, raw_id, id, pos from em where nm = 'entity'),
+ek as materialized (select p.ek, i.txt from ep p join e m on m.raw_id = p.raw_id and m.parent = p.id and m.lk = 'metadata' and m.type = 'OBJECT' join e i on i.raw_id = m.raw_id and i.parent = m.id and i.lk = 'id' and i.{_SCALAR}),
+ed as materialized (select p.ek, case when d.type = 'OBJECT' then cast(d.val as varchar) else d.txt end dt from ep p join e d on d.raw_id = p.raw_id and d.parent = p.id and d.lk = 'data' and d.type in ('OBJECT', 'VARCHAR')),
+v as materialized ({_tree("ed", "ek", "dt")}), vm as materialized ({_members("v", "ek")}),
+er as materialized (select 'event' doc_kind, p.raw_id, p.pos pp, coalesce(ek.txt, '') pk, coalesce(c.pos, -1) cp, coalesce(t.txt, '') ck from ep p left join ek on ek.ek = p.ek
   left join (select * from vm where nm = 'eventdata') c on c.ek = p.ek left join (select * from v where lk = 'eventcode' and {_SCALAR}) t on t.ek = p.ek and t.parent = c.id)
 select doc_kind, raw_id, cast(pp as int) parent_pos, pk parent_key, cast(cp as int) child_pos, ck child_key from (select * from ur union all select * from er)"""
+_OBJECTS = f"""u as materialized ({_tree("usage_docs", "raw_id", "payload")}), um as materialized ({_members("u", "raw_id")}),
+n as materialized (select *, cast(row_number() over (partition by raw_id order by id) - 1 as int) pre from um),
+s as materialized (select raw_id, parent, lk, txt from u where {_SCALAR})"""
+P4_USAGES_SQL = f"""with {_OBJECTS}, x as (select c.raw_id, c.id, p.pre parent_pre, c.pre, c.pos from n c join n p on p.raw_id = c.raw_id and p.id = c.holder where p.nm = 'datausage' and c.nm = 'usages')
+select x.raw_id doc_id, parent_pre, pre, pos, max(txt) filter (lk = 'deviceid') device_id, max(txt) filter (lk = 'plan') plan_name, max(try_cast(txt as bigint)) filter (lk = 'used') used,
+ max(try_cast(txt as bigint)) filter (lk = 'starttime') start_ms, max(try_cast(txt as bigint)) filter (lk = 'endtime') end_ms
+from x left join s on s.raw_id = x.raw_id and s.parent = x.id group by x.raw_id, x.id, parent_pre, pre, pos"""
+P4_ACCOUNTS_SQL = f"""with {_OBJECTS} select n.raw_id doc_id, pre, pos, max(txt) filter (lk = 'acctid') acct_id, max(txt) filter (lk = 'email') email, max(txt) filter (lk = 'phonenum') phone
+from n left join s on s.raw_id = n.raw_id and s.parent = n.id where nm = 'datausage' group by n.raw_id, n.id, pre, pos"""
+P4_SELF_SQL = """select cast(r_regionkey as bigint) doc_id, 0 parent_pos, r_name parent_key, 0 child_pos, cast(r_regionkey + 1000 as varchar) child_key from region where r_regionkey in (select n_regionkey from nation)
+union all select n_regionkey, cast(row_number() over (partition by n_regionkey order by n_nationkey) - 1 as int), n_name, 0, cast(n_nationkey as varchar) from nation"""
 
 
 # 5. Readings to distrust
@@ -297,8 +314,8 @@ c as (select p.acct_id, p.dd, a.dd ad, a.x from p join a on a.acct_id = p.acct_i
 select p.acct_id, p.dd usage_day, cast(coalesce(sum(x) filter (ad > p.dd - 7), 0) as double) total_7, cast(coalesce(sum(x), 0) as double) total_30
 from p left join c on c.acct_id = p.acct_id and c.dd = p.dd group by all"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_load_changes, p3_found, p3_periods, p4_found, p4_usages, p4_accounts, p5_found, p5_phase_space, p6_found, p6_sound_rows, p7_found, p7_rolling, p7_versions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_load_changes, p3_found, p3_periods, p4_found, p4_usages, p4_accounts, p4_self_parent, p5_found, p5_phase_space, p6_found, p6_sound_rows, p7_found, p7_rolling, p7_versions)}
 SQL = {
-    "p1_found": P1_FOUND_SQL, "p1_profile": P1_PROFILE_SQL, "p1_load_changes": P1_CHANGES_SQL, "p3_found": P3_FOUND_SQL, "p3_periods": P3_PERIODS_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL,
+    "p1_found": P1_FOUND_SQL, "p1_profile": P1_PROFILE_SQL, "p1_load_changes": P1_CHANGES_SQL, "p3_found": P3_FOUND_SQL, "p3_periods": P3_PERIODS_SQL, "p4_found": P4_FOUND_SQL, "p4_usages": P4_USAGES_SQL, "p4_accounts": P4_ACCOUNTS_SQL, "p4_self_parent": P4_SELF_SQL, "p5_found": P5_FOUND_SQL,
     "p6_found": P6_FOUND_SQL, "p6_sound_rows": P6_SOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_rolling": P7_ROLLING_SQL, "p7_versions": P7_VERSIONS_SQL,
 }

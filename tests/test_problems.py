@@ -260,11 +260,25 @@ def test_nested_edges(spark):
     ]
     df = spark.createDataFrame(rows, "raw_id long, payload string").withColumn("pre", F.lit(0))
     n = nested.label_nodes(df, "raw_id", "payload")
-    got = sorted(tuple(x) for x in nested.parent_child(n, "p", "c", "k", "q").collect())
+    got = sorted(tuple(x) for x in nested.parent_child(df, "raw_id", "payload", "p", "c", "k", "q").collect())
     assert got == [(5, 1, "1.50", 0, "true"), (7, 0, "�", 0, "1e3")]
     labels = [tuple(x) for x in n.where("doc_id = 5").select("pre", "post").collect()]
     assert sorted(a for a, _ in labels) == list(range(len(labels))) and sorted(b for _, b in labels) == list(range(len(labels)))
-    assert nested.parent_child(nested.label_nodes(df.limit(0), "raw_id", "payload"), "p", "c", "k", "q").collect() == []
+    assert nested.parent_child(df.limit(0), "raw_id", "payload", "p", "c", "k", "q").collect() == []
+    assert nested.link(nested.label_nodes(df.limit(0), "raw_id", "payload"), "p", "c").collect() == []
+
+
+def test_nested_parents_in_parents(spark):
+    """A child belongs to the innermost parent that is still open, also after an inner parent has ended."""
+    text = '{"p":[{"k":"A","p":{"k":"B","q":[{"x":"b1"}]},"q":[{"x":"a1"},{"x":"a2","p":{"k":"C"}}]},{"k":"D","q":{"x":"d1"}}]}'
+    df = spark.createDataFrame([(1, text), (2, text), (2, text)], "raw_id long, payload string")
+    got = [tuple(x) for x in nested.parent_child(df, "raw_id", "payload", "p", "q", "k", "x").collect()]
+    one = [(0, "A", 0, "a1"), (0, "A", 1, "a2"), (0, "B", 0, "b1"), (0, "C", -1, ""), (1, "D", 0, "d1")]
+    assert sorted(got) == sorted([(1, *x) for x in one] + [(2, *x) for x in one] * 2)
+    nodes = nested.label_nodes(df.where("raw_id = 1"), "raw_id", "payload")
+    keys = {x["pre"]: x["fields"].get("k") for x in nodes.where("node_type = 'p'").collect()}
+    links = {(keys[x["parent_pre"]], x["fields"]["x"]) for x in nested.link(nodes, "p", "q").collect()}
+    assert links == {("A", "a1"), ("A", "a2"), ("B", "b1"), ("D", "d1")}
 
 
 SCHEMA = "schema_name string, attr_name string, data_type string, earliest_date string, min_value double, max_value double, exact_length int, members array<string>, string_pattern string, missing_tags array<string>"
