@@ -14,40 +14,55 @@ or shift. Empty tables give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.common import broadcast_if_small
+from millrace.operators.common import broadcast_if_small, written
 from millrace.operators.quantiles import exact_medians
 
 LOAD = ["table_name", "feed_id", "load_seq", "column_name"]
 SMALL = 1e-4
 
 
-def blank(value: Column) -> Column:
-    return F.btrim(value, F.lit(" \t\r\n")) == ""
+def cells(df: DataFrame, table: str, feed: str, seq: str, columns: list[str]) -> DataFrame:
+    """table_name, feed_id, load_seq, column_name, value (string): the named columns unpivoted."""
+    x = df.select(F.col(feed).alias("feed_id"), F.col(seq).cast("int").alias("load_seq"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("value")) for i, c in enumerate(columns)])
+    return x.select(F.lit(table).alias("table_name"), "feed_id", "load_seq", F.inline(pairs))
 
 
-def value_counts(df: DataFrame, table: str, feed: str, seq: str, columns: list[str]) -> DataFrame:
-    """table_name, feed_id, load_seq, column_name, value (string), n over the named columns."""
-    cells = df.select(F.col(feed).alias("feed_id"), F.col(seq).cast("int").alias("load_seq"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("value")) for i, c in enumerate(columns)])
-    cells = cells.select(F.lit(table).alias("table_name"), "feed_id", "load_seq", F.inline(pairs))
-    return cells.groupBy(*LOAD, "value").agg(F.count("*").alias("n"))
+def value_counts(*tables: DataFrame) -> DataFrame:
+    """table_name, feed_id, load_seq, column_name, value, n over the cells of all tables."""
+    return reduce(DataFrame.unionByName, tables).groupBy(*LOAD, "value").agg(F.count("*").alias("n"))
 
 
 def judged(counts: DataFrame, rules: DataFrame) -> DataFrame:
-    """The counts with what the rules say of each value: missing, number, out_of_range, non_member, bad_length, bad_pattern."""
-    r = broadcast_if_small(rules.select(F.col("schema_name").alias("table_name"), F.col("attr_name").alias("column_name"), "data_type", "earliest_date", "min_value", "max_value", "exact_length", "members", "string_pattern", "missing_tags"), 10_000)
-    x = counts.join(r, ["table_name", "column_name"])
+    """The counts with what the rules say of each value: missing, number, out_of_range, non_member, bad_length, bad_pattern.
+
+    ``rules``: a row per declared column; patterns become part of the plan, so that each is compiled once.
+    """
+    r = rules.select(
+        F.col("schema_name").alias("table_name"), F.col("attr_name").alias("column_name"), "data_type", F.to_date("earliest_date").alias("_early"), "min_value", "max_value", "exact_length", "members",
+        F.transform("missing_tags", F.lower).alias("_tags"), "string_pattern",
+    )
+    patterns = r.where("string_pattern is not null").select("table_name", "column_name", "string_pattern").distinct().limit(10_001).collect()
+    if len(patterns) > 10_000:
+        raise ValueError("more than 10,000 patterns")
+    x = counts.join(broadcast_if_small(r.drop("string_pattern"), 10_000), ["table_name", "column_name"])
     v = F.col("value")
-    tagged = F.coalesce(F.exists("missing_tags", lambda t: F.lower(t) == F.lower(F.btrim(v, F.lit(" \t\r\n")))), F.lit(False))
-    x = x.withColumn("missing", v.isNull() | F.coalesce(blank(v), F.lit(False)) | tagged)
+    trimmed = F.btrim(v, F.lit(" \t\r\n"))
+    x = x.withColumn("missing", v.isNull() | (trimmed == "") | F.coalesce(F.array_contains("_tags", F.lower(trimmed)), F.lit(False)))
     x = x.withColumn("number", F.when(~F.col("missing") & F.col("data_type").isin("int", "long", "float", "double"), v.try_cast("double")))
-    early = F.when(F.col("data_type") == "date", v.try_cast("date") < F.to_date("earliest_date"))
+    early = F.when(F.col("data_type") == "date", v.try_cast("date") < F.col("_early"))
     no = F.lit(False)
     present = ~F.col("missing")
     breach = lambda c: present & F.coalesce(c, no)
+    matched = F.lit(None).cast("boolean")
+    for p in patterns:
+        own = (F.col("table_name") == p["table_name"]) & (F.col("column_name") == p["column_name"])
+        matched = F.when(own, v.rlike(f"^(?:{p['string_pattern']})\\z")).otherwise(matched)
     return x.select(
         *LOAD,
         "value",
@@ -58,12 +73,15 @@ def judged(counts: DataFrame, rules: DataFrame) -> DataFrame:
         breach((F.col("number") < F.col("min_value")) | F.coalesce(F.col("number") > F.col("max_value"), no) | F.coalesce(early, no)).alias("out_of_range"),
         breach(~F.array_contains("members", v)).alias("non_member"),
         breach(F.length(v) != F.col("exact_length")).alias("bad_length"),
-        breach(~F.rlike(v, F.concat(F.lit("^(?:"), F.col("string_pattern"), F.lit(")\\z")))).alias("bad_pattern"),
+        breach(~matched).alias("bad_pattern"),
     )
 
 
 def load_stats(judged_counts: DataFrame) -> DataFrame:
-    """Per load and column: rows, missing, filled, missing_share, distinct_values, low, high, breaches, median."""
+    """Per load and column: rows, missing, filled, missing_share, distinct_values, low, high, breaches, median.
+
+    ``judged_counts`` is read three times: write it first.
+    """
     ok = ~F.col("missing")
     many = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0))
     s = judged_counts.groupBy(*LOAD).agg(
@@ -77,12 +95,11 @@ def load_stats(judged_counts: DataFrame) -> DataFrame:
         many("bad_length").alias("bad_length"),
         many("bad_pattern").alias("bad_pattern"),
     )
-    med = exact_medians(judged_counts.where("number is not null"), LOAD, "number", "n")
-    med = med.select(*[F.col(k).alias(f"m_{k}") for k in LOAD], "median")
-    on = F.lit(True)
-    for k in LOAD:
-        on = on & s[k].eqNullSafe(med[f"m_{k}"])
-    s = s.join(med, on, "left").drop(*[f"m_{k}" for k in LOAD])
+    # A load has a row here and one there: put beside each other by one aggregation.
+    figures = s.columns[len(LOAD) :]
+    med = exact_medians(judged_counts.where("number is not null"), LOAD, "number", "n", counted=True).drop("n")
+    both = s.withColumn("median", F.lit(None).cast("double")).unionByName(med, allowMissingColumns=True)
+    s = both.groupBy(*LOAD).agg(*[F.max(c).alias(c) for c in [*figures, "median"]])
     return s.withColumn("filled", F.col("rows") - F.col("missing")).withColumn("missing_share", F.col("missing") / F.col("rows"))
 
 
@@ -132,7 +149,7 @@ def findings(judged_counts: DataFrame, missing_step: float, shift_step: float, f
     ``missing_step``. distinct: the distinct count is above ``factor`` times or below 1/factor of the last. shift: a
     value's share in a closed column moved by more than ``shift_step``, or a numeric median by more than ``factor``.
     """
-    stats = load_stats(judged_counts)
+    stats = written(load_stats(judged_counts))  # a row per load and column
     kept = ["filled", "missing_share", "distinct_values", "median", "out_of_range", "non_member", "bad_length", "bad_pattern"]
     both = beside_previous(stats, kept, LOAD).where("now is not null")
     moved = lambda a, b: (F.col(a) > factor * F.col(b)) | (F.col(a) * factor < F.col(b))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.common import broadcast_if_small
+from millrace.operators.quantiles import exact_percentiles
 from millrace.operators.stats import unpivot
 
 
@@ -118,8 +119,9 @@ def meta_distribution(hist: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def equal_probability_bins(df: DataFrame, attr: str, n: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Per key the n - 1 inner boundaries of n bins of equal probability (exact percentiles over value counts)."""
-    return df.groupBy(*keys).agg(F.percentile(attr, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("boundaries"))
+    """Per key the n - 1 inner boundaries of n bins of equal probability (exact percentiles; no task holds a group)."""
+    x = exact_percentiles(df, list(keys), attr, [i / n for i in range(1, n)])
+    return x.select(*keys, F.array(*[f"p{i}" for i in range(n - 1)]).alias("boundaries"))
 
 
 def percentile_index(value: Column, boundaries: Column) -> Column:

@@ -20,8 +20,8 @@ PERIODS = [7, 30]
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    counts = [cp.value_counts(read(spark, d, t), t, "feed_id", "load_seq", columns) for t, columns in LOADED.items()]
-    return written(cp.judged(counts[0].unionByName(counts[1]), read(spark, d, "attr_schema")))
+    cells = [cp.cells(read(spark, d, t), t, "feed_id", "load_seq", columns) for t, columns in LOADED.items()]
+    return written(cp.judged(cp.value_counts(*cells), read(spark, d, "attr_schema")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_load_changes(spark: SparkSession, d: str) -> DataFrame:
     j = _judged(spark, d)
-    c = cp.share_changes(j, cp.load_stats(j))
+    c = cp.share_changes(j, written(cp.load_stats(j)))
     return c.select(*cp.LOAD, *[F.round(x, 6).alias(x) for x in ("largest_shift", "chi_square", "psi")])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.operators import column_profile as cp
 from millrace.operators import nested, parse_rows, rolling
 from millrace.operators.intervals import clear_runs, run_bitmaps, set_runs
-from millrace.operators.quantiles import exact_medians
+from millrace.operators.quantiles import exact_medians, exact_percentiles
 from millrace.operators.spikes import implausible
 
 
@@ -66,6 +66,22 @@ def test_exact_medians(spark):
     assert got == {k: (len(v), median(v)) for k, v in by.items()}
 
 
+def test_exact_percentiles_cut_crowded_bins(spark):
+    """Values close together, of all magnitudes, infinities and ties, with bins cut until they are small."""
+    r = random.Random(3)
+    rows = [("close", 0.25 + r.randint(0, 10**6) * 1e-12) for _ in range(900)] + [("tiny", r.random() * 1e-9 * r.choice([1, -1])) for _ in range(700)] + [("same", 4.0)] * 50
+    rows += [("wide", r.choice([-1, 1]) * 10.0 ** r.randint(-300, 300)) for _ in range(501)] + [("inf", x) for x in (float("inf"), float("-inf"), 1.0, 2.0)] + [("max", x) for x in (1.7e308, -1.7e308, 1.6e308)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {x["k"]: x for x in exact_percentiles(df, ["k"], "v", [0.0, 0.25, 0.5, 1.0], limit=4).collect()}
+    for k in {k for k, _ in rows}:
+        vs = sorted(v for q, v in rows if q == k)
+        assert got[k]["n"] == len(vs) and got[k]["p0"] == vs[0] and got[k]["p3"] == vs[-1] and got[k]["p2"] == pytest.approx(median(vs), rel=1e-12)
+        at = 0.25 * (len(vs) - 1)
+        if k not in ("inf", "max"):
+            lo, hi = vs[int(at)], vs[min(int(at) + 1, len(vs) - 1)]
+            assert got[k]["p1"] == pytest.approx(lo + (hi - lo) * (at - int(at)), rel=1e-9, abs=1e-24)
+
+
 def brute_flags(rows, k=8.0, min_run=6):
     by = defaultdict(dict)
     for i, src, v, at in rows:
@@ -289,7 +305,7 @@ def test_profile_edges(spark):
         [("t", "n", "int", None, 0.0, 10.0, None, None, None, ["?"]), ("t", "c", "string", None, None, None, 2, ["ab", "cd"], "[a-z]+", ["?", "None"])], SCHEMA)
     rows = [("f", 1, 4, "ab"), ("f", 1, None, " ? "), ("f", 2, 40, "AB"), ("f", 2, 0, "none"), ("f", 2, 10, "abc"), ("f", 4, 1, "ab"), (None, 1, 1, "ab"), (None, 2, 9, "cd"), ("g", None, 1, "ab"), ("h", 1, None, None), ("h", 2, None, "")]
     df = spark.createDataFrame(rows, "feed string, seq int, n int, c string").withColumn("value", F.lit("clash"))
-    j = cp.judged(cp.value_counts(df, "t", "feed", "seq", ["n", "c"]), rules)
+    j = cp.judged(cp.value_counts(cp.cells(df, "t", "feed", "seq", ["n", "c"])), rules)
     stats = {(x["feed_id"], x["load_seq"], x["column_name"]): x for x in cp.load_stats(j).collect()}
     assert stats["f", 1, "c"]["missing"] == 1 and stats["f", 2, "c"]["missing"] == 1 and stats["h", 2, "c"]["missing"] == 1
     assert stats["f", 1, "n"]["median"] == 4.0 and stats["h", 1, "n"]["median"] is None and stats["h", 1, "n"]["distinct_values"] == 0
@@ -297,4 +313,4 @@ def test_profile_edges(spark):
     assert found == {
         ("f", 2, "n", "range"), ("f", 2, "n", "missing"), ("f", 2, "n", "distinct"), ("f", 2, "n", "shift"), ("f", 2, "c", "member"), ("f", 2, "c", "length"), ("f", 2, "c", "pattern"), ("f", 2, "c", "missing"), ("f", 2, "c", "shift"),
     }
-    assert cp.findings(cp.judged(cp.value_counts(df.limit(0), "t", "feed", "seq", ["n", "c"]), rules), 0.1, 0.25).collect() == []
+    assert cp.findings(cp.judged(cp.value_counts(cp.cells(df.limit(0), "t", "feed", "seq", ["n", "c"])), rules), 0.1, 0.25).collect() == []
