@@ -1,9 +1,11 @@
 """Delimited rows that fail to parse, apart from the sound rows, with the reason.
 
-Lines are cut into cells (quotes by a state machine in Arrow batches, for the lines that have any quote; the rest stay
-in the JVM), cells are exploded to (row, ordinal, value) and joined with the rule table, each value is judged by its
-rule, and the failing cells are aggregated to one reason a row. Rows whose quoting or cell count is broken never reach
-the cells. Sound rows are those without any failure (anti-join) and come out typed.
+Lines are cut into cells in the JVM: a line with quotes is cut at its quotes, which gives the stretches outside and inside
+of them in turn; each stretch outside is judged on its own (what may stand before an opening and after a closing quote),
+commas inside are masked, and the line is put together again and cut at the commas that are left. No pattern has to look
+through a whole line, so lines may be very long. Cells are exploded to (row, ordinal, value) and joined with the rule table,
+each value is judged by its rule, and the failing cells are aggregated to one reason a row; rows whose quoting or cell
+count is broken go along as one cell that fails. Sound rows are those without any failure (anti-join) and come out typed.
 
 A null line is taken as an empty one. Cells are judged after outer blanks (spaces, tabs) are removed; empty cells are
 judged like all others. Row ids must be unique; repeated lines under other ids are judged each. Blank: space or tab.
@@ -11,7 +13,8 @@ judged like all others. Row ids must be unique; repeated lines under other ids a
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,53 +24,48 @@ BLANKS = " \t"
 INTEGER = r"^[+-]?[0-9]+$"
 DECIMAL = r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+#: Masks of a comma inside quotes, and of the mask's first character itself.
+COMMA, ESCAPE = "\x01c", "\x01e"
 
 
-def split_quoted(line: str, delim: str = ",") -> list[str] | None:
-    """The cells of a line, or None if its quoting is broken. Inside quotes a doubled quote is one quote."""
-    cells, i, n = [], 0, len(line)
-    while True:
-        j = i
-        while j < n and line[j] in BLANKS and line[j] != delim:
-            j += 1
-        if j < n and line[j] == '"':
-            parts, k = [], j + 1
-            while True:
-                e = line.find('"', k)
-                if e < 0:
-                    return None
-                parts.append(line[k:e])
-                if line[e + 1 : e + 2] != '"':
-                    break
-                parts.append('"')
-                k = e + 2
-            cells.append("".join(parts))
-            end = line.find(delim, e + 1)
-            end = n if end < 0 else end
-            if line[e + 1 : end].strip(BLANKS):
-                return None
-        else:
-            end = line.find(delim, i)
-            end = n if end < 0 else end
-            if '"' in line[i:end]:
-                return None
-            cells.append(line[i:end])
-        if end >= n:
-            return cells
-        i = end + len(delim)
+def quoted_cells(line: Column, delim: str = ",") -> Column:
+    """The cells of a line with quotes, or null if its quoting is broken. Inside quotes a doubled quote is one quote.
 
+    Broken: a quote in an unquoted cell, an opening quote without a closing one, more than blanks after a closing quote.
+    Cells keep the blanks around their quotes.
+    """
+    if delim in BLANKS and len(delim) == 1:
+        blank = "[" + BLANKS.replace(delim, "") + "]*"
+    else:
+        blank = f"[{BLANKS}]*"
+    d = re.escape(delim)
+    masked = F.split(F.replace(line, F.lit("\x01"), F.lit(ESCAPE)), '"', -1)
+    before, after, opens = f"(?s)(^|{d}){blank}\\z", f"(?s)^{blank}({d}|\\z)", f"(?s){d}{blank}\\z"
 
-def cells_of(df: DataFrame, line: str, delim: str = ",") -> DataFrame:
-    """Adds _cells: array of raw cell texts, null where the quoting is broken."""
+    def judged(bound: Column) -> Column:
+        parts, last = bound["parts"], bound["last"]
+        doubled = lambda x, i: (x == "") & (i > 0) & (i < last)
+
+        def sound(x: Column, i: Column) -> Column:
+            return (i % 2 == 1) | doubled(x, i) | (((i == 0) | x.rlike(after)) & ((i == last) | x.rlike(opens) | ((i == 0) & x.rlike(before))))
 
-    @F.pandas_udf("array<string>")
-    def quoted(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda s: None if s is None else split_quoted(s, delim))
+        def put(x: Column, i: Column) -> Column:
+            return F.when(i % 2 == 1, F.replace(x, F.lit(delim), F.lit(COMMA))).when(doubled(x, i), F.lit('"')).otherwise(x)
 
+        whole = F.split(F.array_join(F.transform(parts, put), ""), f"\\Q{delim}\\E", -1)
+        cells = F.transform(whole, lambda c: F.replace(F.replace(c, F.lit(COMMA), F.lit(delim)), F.lit(ESCAPE), F.lit("\x01")))
+        return F.when((last % 2 == 0) & F.forall(F.transform(parts, sound), lambda ok: ok), cells)
+
+    # Bound as the one element of an array, so that the cuts are made once a line and not once a part.
+    once = F.transform(F.array(masked), lambda p: F.struct(p.alias("parts"), (F.size(p) - 1).alias("last")))
+    return F.get(F.transform(once, judged), F.lit(0))
+
+
+def cells_of(df: DataFrame, line: str, delim: str = ",") -> DataFrame:
+    """Adds _cells: array of raw cell texts, null where the quoting is broken."""
     text = F.coalesce(F.col(line), F.lit(""))
-    with_quotes = F.contains(text, F.lit('"'))
     plain = F.split(text, f"\\Q{delim}\\E", -1)
-    return df.withColumn("_quoted", quoted(F.when(with_quotes, text))).withColumn("_cells", F.when(with_quotes, F.col("_quoted")).otherwise(plain)).drop("_quoted")
+    return df.withColumn("_cells", F.when(F.contains(text, F.lit('"')), quoted_cells(text, delim)).otherwise(plain))
 
 
 def _valid(v: Column) -> Column:
@@ -107,14 +105,14 @@ def failures(df: DataFrame, ident: str, line: str, rules: DataFrame, known: Data
     width = rules.agg(F.count("*")).collect()[0][0]
     rows = cells_of(df.select(F.col(ident).alias("_id"), F.col(line).alias("_line")), "_line", delim).select("_id", "_cells")
     broken = F.when(F.col("_cells").isNull(), "quoting").when(F.size("_cells") != width, "column_count")
-    shape = rows.select("_id", broken.alias("reason")).where("reason is not null")
-    cells = rows.where(F.size("_cells") == width).select("_id", F.posexplode("_cells").alias("ordinal_no", "value"))
-    cells = cells.withColumn("value", F.btrim("value", F.lit(BLANKS))).join(rules, "ordinal_no")
+    rows = rows.select("_id", broken.alias("_broken"), "_cells")
+    # A broken line has no cells and comes out once, without a rule.
+    cells = rows.select("_id", "_broken", F.posexplode_outer(F.when(F.col("_broken").isNull(), F.col("_cells"))).alias("ordinal_no", "value"))
+    cells = cells.withColumn("value", F.btrim("value", F.lit(BLANKS))).join(rules, "ordinal_no", "left")
     listed = broadcast_if_small(known.select(F.col("attr_name"), F.col("value"), F.lit(True).alias("known")).distinct())
-    bad = cells.join(listed, ["attr_name", "value"], "left").where(~_valid(F.col("value")))
-    bad = bad.groupBy("_id").agg(F.array_sort(F.collect_set("attr_name")).alias("columns"))
-    out = shape.select("_id", "reason", F.array().cast("array<string>").alias("columns")).unionByName(bad.select("_id", F.lit("invalid_value").alias("reason"), "columns"))
-    return out.withColumnRenamed("_id", ident)
+    bad = cells.join(listed, ["attr_name", "value"], "left").where(F.col("_broken").isNotNull() | ~_valid(F.col("value")))
+    bad = bad.groupBy("_id").agg(F.coalesce(F.max("_broken"), F.lit("invalid_value")).alias("reason"), F.array_sort(F.collect_set("attr_name")).alias("columns"))
+    return bad.withColumnRenamed("_id", ident)
 
 
 def sound_rows(df: DataFrame, ident: str, line: str, rules: DataFrame, known: DataFrame, delim: str = ",") -> DataFrame:

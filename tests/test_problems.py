@@ -187,10 +187,18 @@ QUOTES = {
 }
 
 
-def test_split_quoted():
-    for line, want in QUOTES.items():
-        assert parse_rows.split_quoted(line) == want, line
-    assert len(parse_rows.split_quoted('"' + '""' * 300_000 + '",' + "x," * 1000)) == 1002
+def test_quoted_cells(spark):
+    more = {'a,"x\x01y,\x01c",\x01': ["a", "x\x01y,\x01c", "\x01"], '""': [""], '"a","b"': ["a", "b"], '"a" "b"': None, '"a""': None, 'a,"': None, '"a\n,b"\n': None, '"a\n,b"': ["a\n,b"], '""""""': ['""'], '"a",x"b"': None}
+    long_ = '"' + '""' * 300_000 + '",' + "x," * 1000
+    rows = list(enumerate([*QUOTES, *more, long_]))
+    got = {i: c for i, c in parse_rows.cells_of(spark.createDataFrame(rows, "id int, line string"), "line").select("id", "_cells").collect()}
+    want = [*QUOTES.values(), *more.values()]
+    for i, line in rows[:-1]:
+        cells = None if got[i] is None else [c.strip(" \t") for c in got[i]]
+        assert cells == want[i], line
+    assert len(got[rows[-1][0]]) == 1002 and len(got[rows[-1][0]][0]) == 300_000
+    tabs = parse_rows.cells_of(spark.createDataFrame([('a\t "b\tc" \td',), ('"a" x\tb',)], "line string"), "line", "\t").collect()
+    assert [x["_cells"] for x in tabs] == [["a", " b\tc ", "d"], None]
 
 
 RULES = "ordinal_no int, attr_name string, data_type string, earliest_date string, min_value double, max_value double, exact_length int, members array<string>, string_pattern string, validators array<string>"
