@@ -6,6 +6,8 @@ run_end). Runs are cut at shard borders, so one shard's bitmap depends on nothin
 ``shard`` bits however many intervals an entity has, which bounds every group, and a busy entity spreads over
 its shards. The union of bitmaps is taken in two steps: runs starting at the same bit are merged with partial
 aggregation before the shuffle (copies vanish there), then a sweep in start order joins those that overlap or touch.
+An interval of more than ``long_shards`` shards (an absurd end, say) is not spelt out: the full shards between its two
+ends are held as one run over all of them, in place of whatever else lies in these shards.
 
 Rows whose entity, start or end is null and rows whose end is not after the start set no bit and are left out.
 An entity without bits gives no row. Extra columns are ignored whatever their names.
@@ -20,14 +22,20 @@ from millrace.operators.common import floor_div
 
 #: Six hours of milliseconds.
 SHARD = 6 * 3_600_000
+#: A hundred days of shards.
+LONG_SHARDS = 400
 
 
-def run_bitmaps(df: DataFrame, entity: Column, start: Column, end: Column, shard: int = SHARD) -> DataFrame:
+def run_bitmaps(df: DataFrame, entity: Column, start: Column, end: Column, shard: int = SHARD, long_shards: int = LONG_SHARDS) -> DataFrame:
     """The united bitmap of every entity and shard: entity, shard, run_start, run_end (absolute units)."""
     spans = df.select(entity.alias("entity"), start.cast("long").alias("s"), end.cast("long").alias("e"))
     spans = spans.where("entity is not null and s is not null and e is not null and e > s")
     first, last = floor_div(F.col("s"), shard), floor_div(F.col("e") - 1, shard)
-    cells = spans.select("entity", "s", "e", F.explode(F.sequence(first, last)).alias("shard"))
+    spans = spans.withColumn("first", first).withColumn("last", last)
+    is_long = F.col("last") - F.col("first") > long_shards
+    some_long = bool(spans.where(is_long).limit(1).collect())
+    shards = F.when(is_long, F.array("first", "last")).otherwise(F.sequence("first", "last")) if some_long else F.sequence("first", "last")
+    cells = spans.select("entity", "s", "e", F.explode(shards).alias("shard"))
     cells = cells.select(
         "entity",
         "shard",
@@ -40,7 +48,18 @@ def run_bitmaps(df: DataFrame, entity: Column, start: Column, end: Column, shard
     runs = runs.withColumn("opens", F.when(reached.isNull() | (F.col("s") > reached), 1).otherwise(0))
     runs = runs.withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("entity", "shard", "run").agg(F.min("s").alias("run_start"), F.max("e").alias("run_end"))
-    return runs.drop("run")
+    runs = runs.drop("run")
+    if not some_long:
+        return runs
+    full = spans.where(is_long).groupBy("entity", (F.col("first") + 1).alias("lo")).agg((F.max("last") - 1).alias("hi"))  # a row per shard at most
+    w = Window.partitionBy("entity").orderBy("lo")
+    reached = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    full = full.withColumn("opens", F.when(F.col("lo") <= reached + 1, 0).otherwise(1))
+    full = full.withColumn("range", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    full = full.groupBy("entity", "range").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    r = full.select(F.col("entity").alias("_e"), "lo", "hi")
+    free = runs.join(r, (F.col("entity") == F.col("_e")) & F.col("shard").between(F.col("lo"), F.col("hi")), "left_anti")
+    return free.unionByName(full.select("entity", F.col("lo").alias("shard"), (F.col("lo") * shard).alias("run_start"), ((F.col("hi") + 1) * shard).alias("run_end")))
 
 
 def clear_runs(bitmaps: DataFrame) -> DataFrame:

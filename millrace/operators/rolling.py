@@ -21,8 +21,17 @@ from pyspark.sql import functions as F
 AMOUNT = "decimal(38,0)"
 
 
-def daily_amounts(df: DataFrame, entity: Column, day: Column, amount: Column, ident: Column | None = None) -> DataFrame:
-    """entity, day, amount: totals per entity and day; with ``ident``, deliveries of one record count once."""
+def daily_amounts(df: DataFrame, entity: Column, day: Column, amount: Column, ident: Column | None = None, late: Column | None = None) -> DataFrame:
+    """entity, day, amount: totals per entity and day; with ``ident``, deliveries of one record count once.
+
+    ``late`` (needs ``ident``): whether a delivery belongs to the second batch; adds batch: 0, or 1 for records of which all
+    deliveries are late, whose amounts are apart. Null counts as not late.
+    """
+    if late is not None:
+        d = df.select(entity.alias("entity"), day.cast("date").alias("day"), amount.alias("amount"), ident.alias("ident"), F.coalesce(late, F.lit(False)).cast("int").alias("batch"))
+        d = d.where("entity is not null and day is not null and amount is not null")
+        d = d.groupBy("ident", "entity", "day").agg(F.max("amount").alias("amount"), F.min("batch").alias("batch"))
+        return d.groupBy("entity", "day", "batch").agg(F.sum(F.col("amount").cast("decimal(20,0)")).cast(AMOUNT).alias("amount"))
     d = df.select(entity.alias("entity"), day.cast("date").alias("day"), amount.alias("amount"), *([ident.alias("ident")] if ident is not None else []))
     d = d.where("entity is not null and day is not null and amount is not null")
     if ident is not None:
@@ -52,18 +61,21 @@ def rolling_state(daily: DataFrame, lengths: list[int], version: int = 1) -> Dat
 def current(state: DataFrame) -> DataFrame:
     """The newest version of every entity and day."""
     w = Window.partitionBy("entity", "day").orderBy(F.col("version").desc())
+    state = state.repartition("entity")  # serves what follows by entity as well; an entity has a few rows a day
     return state.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def advance(state: DataFrame, arrivals: DataFrame, lengths: list[int], version: int) -> DataFrame:
+def advance(state: DataFrame, arrivals: DataFrame, lengths: list[int], version: int, newest_only: bool = False) -> DataFrame:
     """The rows of the next version after ``arrivals`` (entity, day, amount; negative amounts correct).
 
+    ``state`` is read twice: write it first. ``newest_only``: it has one version of every day.
+
     Yesterday's totals of the day before an entity's first affected day carry over; only days up to the last arrival
     plus the longest period are computed again. Entities without arrivals give no rows.
     """
     longest = max(lengths)
     touched = arrivals.groupBy("entity").agg(F.min("day").alias("lo"), F.date_add(F.max("day"), longest).alias("hi"))
-    now = current(state).drop("version")
+    now = (state.repartition("entity") if newest_only else current(state)).drop("version")
     delta = _changes(arrivals, lengths).select("entity", "day", "active", "amount", *[f"c{n}" for n in lengths])
     old = now.join(touched, "entity").where("day between lo and hi").select("entity", "day", "active", "amount", *[F.col(f"t{n}") for n in lengths])
     rows = old.withColumn("kind", F.lit(0)).unionByName(delta.withColumn("kind", F.lit(1)), allowMissingColumns=True)

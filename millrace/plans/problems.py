@@ -211,17 +211,31 @@ def p5_phase_space(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("ident").alias("usage_id"), F.col("source").alias("device_id"), "value", "n", "median", "deviation", "spike_round", "stuck", "impossible")
 
 
-P5_FOUND_SQL = """with u as (select usage_id, any_value(upper(trim(device_id))) dev, any_value(used) used, any_value(start_time) s, any_value(end_time) e, any_value(lower(trim(plan_name))) plan
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per device: readings that are flagged as impossible, stuck, and in round 1 for being far out, against plain SQL."""
+    far = (F.col("spike_round") == 1) & (F.abs(F.col("value") - F.col("median")) > 8 * F.col("deviation"))
+    many = lambda c: F.sum(c.cast("int"))
+    x = _marks(spark, d).where(F.col("stuck") | F.col("impossible") | far)
+    return x.groupBy(F.col("source").alias("device_id")).agg(F.max("n").alias("readings"), F.max("median").alias("median"), F.max("deviation").alias("deviation"), many(far).alias("far"), many(F.col("stuck")).alias("stuck"), many(F.col("impossible")).alias("impossible"))
+
+
+_P5 = """with u as (select usage_id, any_value(upper(trim(device_id))) dev, any_value(used) used, any_value(start_time) s, any_value(end_time) e, any_value(lower(trim(plan_name))) plan
   from usage_records where device_id is not null and used is not null group by usage_id),
 md as (select dev, count(*) n, median(used) med from u group by dev),
 mad as (select dev, median(abs(used - med)) mad from u join md using (dev) group by dev),
 q as (select *, case when lag(used) over w = used then 0 else 1 end opens from u where s is not null window w as (partition by dev order by s, usage_id)),
 k as (select *, sum(opens) over (partition by dev order by s, usage_id) run from q),
-z as (select *, count(*) over (partition by dev, run) len from k)
+z as (select *, count(*) over (partition by dev, run) len from k)"""
+P5_FOUND_SQL = f"""{_P5}
 select usage_id from u where used < 0
 union select usage_id from u join plan_limits p on lower(trim(p.plan_name)) = u.plan where e > s and used > p.max_bytes_per_sec::hugeint * (epoch_ms(e) - epoch_ms(s)) / 1000
 union select usage_id from z where len >= 6 and used > 0
 union select usage_id from u join md using (dev) join mad using (dev) where n >= 20 and abs(used - med) > 8 * mad"""
+P5_CHECK_SQL = f"""{_P5},
+f as (select u.usage_id, dev, n, med, mad, abs(used - med) > 8 * mad as far, coalesce(len >= 6 and u.used > 0, false) as stuck,
+  used < 0 or coalesce(e > u.s and used > p.max_bytes_per_sec::hugeint * (epoch_ms(e) - epoch_ms(u.s)) / 1000, false) as bad
+  from u join md using (dev) join mad using (dev) left join (select usage_id, len from z) k using (usage_id) left join plan_limits p on lower(trim(p.plan_name)) = u.plan)
+select dev device_id, max(n) readings, max(med) as median, max(mad) deviation, count(*) filter (far) as far, count(*) filter (stuck) as stuck, count(*) filter (bad) as impossible from f where far or stuck or bad group by dev"""
 
 
 # 6. Lines that fail to parse
@@ -270,8 +284,23 @@ def _daily(u: DataFrame) -> DataFrame:
     return rolling.daily_amounts(x, F.col("acct_id"), F.col("usage_day"), F.col("used"), F.col("usage_id"))
 
 
+#: Loading days that come as a second batch.
+LAST_LOADS = 30
+
+
+def _advanced(spark: SparkSession, d: str) -> DataFrame:
+    """The newest state after two batches: the records up to the last 30 loading days, and those days' arrivals."""
+    u = read(spark, d, "usage_records")
+    last = u.agg(F.date_sub(F.to_date(F.max("loaded_at")), LAST_LOADS)).collect()[0][0]
+    x = u.where("used > 0").select("usage_id", "acct_id", F.to_date("start_time").alias("usage_day"), "used", (F.to_date("loaded_at") > F.lit(last)).alias("late"))
+    daily = written(rolling.daily_amounts(x, F.col("acct_id"), F.col("usage_day"), F.col("used"), F.col("usage_id"), F.col("late")))
+    first, arrivals = (daily.where(F.col("batch") == k).drop("batch") for k in (0, 1))
+    base = written(rolling.rolling_state(first, PERIODS))
+    return rolling.current(base.unionByName(rolling.advance(base, arrivals, PERIODS, 2, newest_only=True)))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    days = rolling.every_day(rolling.rolling_state(_daily(read(spark, d, "usage_records")), PERIODS), PERIODS)
+    days = rolling.every_day(_advanced(spark, d), PERIODS)
     surge = (F.datediff("day", "first_day") >= 29) & (F.col("t7") * 30 > F.col("t30") * 28)
     kind = F.when((F.col("t7") == 0) & (F.col("t30") != 0), "idle").when(surge, "surge")
     found = days.select(F.col("entity").alias("acct_id"), F.date_format("day", "yyyy-MM-dd").alias("usage_day"), kind.alias("finding"))
@@ -314,8 +343,8 @@ c as (select p.acct_id, p.dd, a.dd ad, a.x from p join a on a.acct_id = p.acct_i
 select p.acct_id, p.dd usage_day, cast(coalesce(sum(x) filter (ad > p.dd - 7), 0) as double) total_7, cast(coalesce(sum(x), 0) as double) total_30
 from p left join c on c.acct_id = p.acct_id and c.dd = p.dd group by all"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_load_changes, p3_found, p3_periods, p4_found, p4_usages, p4_accounts, p4_self_parent, p5_found, p5_phase_space, p6_found, p6_sound_rows, p7_found, p7_rolling, p7_versions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_load_changes, p3_found, p3_periods, p4_found, p4_usages, p4_accounts, p4_self_parent, p5_found, p5_phase_space, p5_check, p6_found, p6_sound_rows, p7_found, p7_rolling, p7_versions)}
 SQL = {
-    "p1_found": P1_FOUND_SQL, "p1_profile": P1_PROFILE_SQL, "p1_load_changes": P1_CHANGES_SQL, "p3_found": P3_FOUND_SQL, "p3_periods": P3_PERIODS_SQL, "p4_found": P4_FOUND_SQL, "p4_usages": P4_USAGES_SQL, "p4_accounts": P4_ACCOUNTS_SQL, "p4_self_parent": P4_SELF_SQL, "p5_found": P5_FOUND_SQL,
+    "p1_found": P1_FOUND_SQL, "p1_profile": P1_PROFILE_SQL, "p1_load_changes": P1_CHANGES_SQL, "p3_found": P3_FOUND_SQL, "p3_periods": P3_PERIODS_SQL, "p4_found": P4_FOUND_SQL, "p4_usages": P4_USAGES_SQL, "p4_accounts": P4_ACCOUNTS_SQL, "p4_self_parent": P4_SELF_SQL, "p5_found": P5_FOUND_SQL, "p5_check": P5_CHECK_SQL,
     "p6_found": P6_FOUND_SQL, "p6_sound_rows": P6_SOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_rolling": P7_ROLLING_SQL, "p7_versions": P7_VERSIONS_SQL,
 }

@@ -40,9 +40,10 @@ def test_intervals_against_sweep(spark, seed):
     r = random.Random(seed)
     rows = [(r.choice(["A", "A", "A", "B", None]), r.randint(-900, 900), None) for _ in range(300)]
     rows = [(e, s, None if r.random() < 0.05 else s + r.choice([-3, 0, 1, 5, 20, 260])) for e, s, _ in rows]
-    rows += rows[:20] + [("C", 5, 5), ("D", 10, 20), ("D", 20, 30)]
+    rows += rows[:20] + [("C", 5, 5), ("D", 10, 20), ("D", 20, 30), ("E", -10, 60), ("E", 130, 10**6), ("E", 40, 5000), ("E", 10**6 + 3, 10**6 + 900), ("E", 200, 230)]
     df = spark.createDataFrame(rows, "entity string, s long, e long").withColumn("shard", F.lit("clash"))
-    b = run_bitmaps(df, F.col("entity"), F.col("s"), F.col("e"), 50)
+    b = run_bitmaps(df, F.col("entity"), F.col("s"), F.col("e"), 50, 4)
+    assert b.count() < 3000  # long intervals are not spelt out
     gaps, periods = gaps_and_periods(rows)
     assert {tuple(x) for x in clear_runs(b).collect()} == gaps
     got = [tuple(x) for x in set_runs(b, 50).collect()]
