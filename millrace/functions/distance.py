@@ -122,15 +122,42 @@ class Part:
     options: dict | None = None
 
 
-KINDS = {"numeric": numeric, "categorical": categorical, "geo": geo, "text": text, "vector": vector, "setInclusion": set_inclusion}
+def prepared(p: Part) -> Column:
+    """The attribute of a part as the comparison of pairs wants it: texts as tokens."""
+    return clean_tokens(F.col(p.name)) if p.kind == "text" and (p.options or {}).get("strategy") != "charPair" else F.col(p.name)
+
+
+def value_difference(a: Column, b: Column, table: dict[tuple[str, str], float]) -> Column:
+    """The looked-up distance of two categories, in either order; 0 for equal ones, 1 for pairs that the table lacks.
+
+    ``table`` becomes part of the plan, so it is held to 10,000 pairs; it is made of the value difference metric of the
+    categories (``categorical_value_difference``).
+    """
+    if len(table) > 10_000:
+        raise ValueError("more than 10,000 pairs of categories")
+    pairs = [x for (u, v), d in table.items() for x in (F.lit("\x00".join(sorted((u, v)))), F.lit(float(d)))]
+    x, y = a.cast("string"), b.cast("string")
+    found = F.create_map(*pairs)[F.concat_ws("\x00", F.least(x, y), F.greatest(x, y))] if pairs else F.lit(None).cast("double")
+    return F.when(x == y, 0.0).when(x.isNotNull() & y.isNotNull(), F.coalesce(found, F.lit(1.0)))
+
+
+KINDS = {"valueDifference": value_difference, "numeric": numeric, "categorical": categorical, "geo": geo, "text": text, "vector": vector, "setInclusion": set_inclusion}
+
+
+def _compare(p: Part):
+    options = dict(p.options or {})
+    if p.kind == "text" and options.get("strategy") != "charPair":
+        of_tokens = TEXT[options.pop("strategy")]
+        return lambda a, b: of_tokens(a, b, **options)
+    return lambda a, b: KINDS[p.kind](a, b, **options)
 
 
 def record_distance(left: str, right: str, parts: Sequence[Part], how: str = "weighted", missing: float | None = None) -> Column:
-    """Distance of the structs ``left`` and ``right``: the weighted mean of the parts, or an aggregate of them by ``how``.
+    """Distance of the structs ``left`` and ``right`` (of ``prepared`` attributes): the weighted mean of the parts, or an aggregate of them by ``how``.
 
     ``missing``: the distance where a value is null; without it, such parts are left out of the weighted mean.
     """
-    ds = [(p.weight, KINDS[p.kind](F.col(f"{left}.{p.name}"), F.col(f"{right}.{p.name}"), **(p.options or {}))) for p in parts]
+    ds = [(p.weight, _compare(p)(F.col(f"{left}.{p.name}"), F.col(f"{right}.{p.name}"))) for p in parts]
     if missing is not None:
         ds = [(w, F.coalesce(d, F.lit(float(missing)))) for w, d in ds]
     if how != "weighted":

@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set (tests) make a local one."""
+    """Use the cluster's spark.checkpoint.dir; only a local session without one (tests) gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
+    sc.setCheckpointDir(folder)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,22 +34,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a parquet table in the shared checkpoint folder: columnar, so far smaller than a checkpoint
-    where values repeat, and later reads take only the columns they need. The table stays until the folder is emptied."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    where values repeat; later reads take only the columns they need, and Spark knows its size when it plans joins. The
+    table stays until ``drop_written`` or until the folder is emptied."""
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows, else leave the join to Spark.
+def drop_written(spark: SparkSession) -> int:
+    """Remove the tables that ``written`` has made in this process; call it when their results have been used."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000, max_chars: int = 10_000_000) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows of ``max_chars`` characters in all as text, else leave
+    the join to Spark.
 
     The check fetches no more than max_rows + 1 rows; what it fetched is what is broadcast.
     """
     rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    if len(rows) > max_rows or sum(len(str(r)) for r in rows) > max_chars:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 

@@ -7,32 +7,46 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.distance import Part, record_distance
+from millrace.functions.distance import Part, prepared, record_distance
 
 
-def record_similarity(df: DataFrame, ident: str, parts: Sequence[Part], other: DataFrame | None = None, block: str | None = None, threshold: float | None = None, chunks: int = 8, scale: float | None = None, include_self: bool = False, how: str = "weighted", missing: float | None = None) -> DataFrame:
+#: Records of a chunk, and chunks of a block at most.
+CHUNK, CHUNKS = 2_000, 1_000
+
+
+def chunks_for(df: DataFrame, block: str | None) -> int:
+    """Chunks for the largest block of ``df``."""
+    key = F.col(block).cast("string") if block else F.lit("")
+    most = df.groupBy(key.alias("_block")).count().agg(F.max("count")).collect()[0][0] or 0
+    return min(max(1, -(-most // CHUNK)), CHUNKS)
+
+
+def record_similarity(df: DataFrame, ident: str, parts: Sequence[Part], other: DataFrame | None = None, block: str | None = None, threshold: float | None = None, chunks: int | None = None, scale: float | None = None, include_self: bool = False, how: str = "weighted", missing: float | None = None) -> DataFrame:
     """id1, id2, distance of all pairs of a block (of one set, id1 < id2, or across two), up to ``threshold``.
 
     A block's pairs are what is asked for; they are spread: every record goes to the chunk pairs its chunk takes part in,
-    so a block with a third of all records is worked on by chunks * (chunks + 1) / 2 tasks, each holding its share of two
-    chunks. ``how``: weighted mean of the parts, or an aggregate of them. ``scale``: distances as rounded whole numbers. Without a block the whole set is one.
+    each a group of its own, with as many chunks as the largest block asks (``chunks`` sets their number). Of one set only
+    half of the chunk pairs are made. Texts are cut into tokens once a record. ``how``: weighted mean of the parts, or an
+    aggregate of them. ``scale``: distances as rounded whole numbers. Without a block the whole set is one.
     """
-    names = list(dict.fromkeys(p.name for p in parts))
+    chunks = chunks or max(chunks_for(d, block) for d in (df, other) if d is not None)
+    fields = {p.name: prepared(p) for p in parts}
     key = F.col(block).cast("string") if block else F.lit("")
     chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
 
     def side(d: DataFrame, label: str) -> DataFrame:
-        return d.select(key.alias("_block"), F.col(ident).alias(f"id{label}"), F.struct(*names).alias(f"r{label}"), chunk(F.col(ident)).alias(f"c{label}"))
+        return d.select(key.alias("_block"), F.col(ident).alias(f"id{label}"), F.struct(*[c.alias(n) for n, c in fields.items()]).alias(f"r{label}"), chunk(F.col(ident)).alias(f"c{label}"))
 
     a, b = side(df, "1"), side(df if other is None else other, "2")
-    every = F.array(*[F.lit(i) for i in range(chunks)])
-    a = a.withColumn("c2", F.explode(every))
-    b = b.withColumn("c1", F.explode(every))
+    last = F.lit(chunks - 1)
+    a = a.withColumn("c2", F.explode(F.sequence(F.col("c1") if other is None else F.lit(0), last)))
+    b = b.withColumn("c1", F.explode(F.sequence(F.lit(0), F.col("c2") if other is None else last)))
     x = a.join(b, ["_block", "c1", "c2"])
     if other is None:
-        x = x.where(F.col("id1") <= F.col("id2") if include_self else F.col("id1") < F.col("id2"))
+        x = x.where((F.col("c1") < F.col("c2")) | (F.col("id1") <= F.col("id2") if include_self else F.col("id1") < F.col("id2")))
     d = record_distance("r1", "r2", parts, how, missing)
-    x = x.select("id1", "id2", (F.floor(d * scale + 0.5).cast("long") if scale else d).alias("distance"))
+    id1, id2 = (F.least("id1", "id2"), F.greatest("id1", "id2")) if other is None else (F.col("id1"), F.col("id2"))
+    x = x.select(id1.alias("id1"), id2.alias("id2"), (F.floor(d * scale + 0.5).cast("long") if scale else d).alias("distance"))
     return x if threshold is None else x.where(F.col("distance") <= threshold)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from millrace.functions import transform as tr
 from millrace.functions import validators as va
 from millrace.functions.transform import Spec, transform
 from millrace.operators import stats as st
-from millrace.operators.common import ensure_checkpoint_dir
+from millrace.operators.common import scratch
 from millrace.plans.registry import Registry
 from millrace.streaming import aggregate as stream
 
@@ -203,9 +201,7 @@ add("sample_stride", lambda t: sampling.stride_sample(t.orders, ["o_orderkey"],
 
 def _drained(spark: SparkSession, directory: str, table: str, build, mode: str) -> DataFrame:
     """Run a streaming query over a table's files to its end and read what it wrote from the shared folder."""
-    ensure_checkpoint_dir(spark)
-    sc = spark.sparkContext
-    root = sc._jsc.sc().getCheckpointDir().get() + "/" + next(tempfile._get_candidate_names())
+    root = scratch(spark, "stream")
     path = f"{directory}/{table}.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*" if not path.endswith("/") else path)
     out = f"{root}/out"

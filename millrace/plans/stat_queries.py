@@ -264,22 +264,15 @@ add("sim_mixed", lambda t: _sim(t, [Part("s_acctbal", "numeric", 3.0, {"scale":
     select id1, id2, round(distance, 9) distance from d where distance <= 0.3""")
 
 
-def _all_names(t):
-    return t.part.select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("words"))
-
-
 def _names(t):
-    return _all_names(t).where("p_size = 7")
+    return t.part.select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("words"))
 
 
-_NM = "n as (select p_partkey, p_brand, list_filter(string_split_regex(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda w: w <> '') w from part where p_size = 7), p as (select a.p_partkey id1, b.p_partkey id2, a.w x, b.w y, list_intersect(a.w, b.w) m from n a join n b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey)"
+_NM = "n as (select p_partkey, p_brand, list_filter(string_split_regex(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda w: w <> '') w from part), p as (select a.p_partkey id1, b.p_partkey id2, a.w x, b.w y, list_intersect(a.w, b.w) m from n a join n b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey)"
 for _s, _q in (("jaccard", "1 - len(m) / len(list_distinct(list_concat(x, y)))"), ("dice", "1 - 2 * len(m) / (len(list_distinct(x)) + len(list_distinct(y)))")):
     add(f"sim_{_s}", lambda t, s=_s: rounded(si.record_similarity(_names(t), "p_partkey", [Part("words", "text", 1.0, {"strategy": s})], block="p_brand"), 6, "distance"), f"with {_NM} select id1, id2, round({_q}, 6) distance from p")
 add("sim_cosine", lambda t: rounded(si.record_similarity(_names(t), "p_partkey", [Part("words", "text", 1.0, {"strategy": "cosine"})], block="p_brand"), 6, "distance"),
     f"with {_NM}, c as (select p_partkey, p_brand, u w, count(*) c from (select p_partkey, p_brand, unnest(w) u from n) group by all), l as (select p_partkey, p_brand, sqrt(sum(c * c)) l from c group by all), d as (select a.p_partkey i, b.p_partkey j, sum(a.c * b.c) s from c a join c b on a.w = b.w and a.p_brand = b.p_brand and a.p_partkey < b.p_partkey group by all) select a.p_partkey id1, b.p_partkey id2, round(1 - coalesce(s, 0) / (a.l * b.l), 6) distance from l a join l b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey left join d on i = a.p_partkey and j = b.p_partkey")
-# The three above compare the parts of one size, as their SQL does; these compare all parts of a brand.
-for _s in ("jaccard", "dice", "cosine"):
-    add(f"sim_{_s}_all", lambda t, s=_s: rounded(si.record_similarity(_all_names(t), "p_partkey", [Part("words", "text", 1.0, {"strategy": s})], block="p_brand"), 6, "distance"), registry.sql[f"sim_{_s}"].replace(" where p_size = 7", ""))
 _vec = lambda t, kind: rounded(si.record_similarity(t.embeddings.where("label is not null"), "vec_id", [Part("embedding", "vector", 1.0, {"kind": kind})], block="label"), 4, "distance")
 _VP = "from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id"
 add("sim_vector_euclidean", lambda t: _vec(t, "euclidean"), f"select a.vec_id id1, b.vec_id id2, round(list_distance(a.embedding::double[], b.embedding::double[]), 4) distance {_VP}")
@@ -289,14 +282,10 @@ _TM = f"with {_SUP}, m as (select a.s_suppkey id1, b.s_suppkey id2, abs(a.s_acct
 add("top_matches", lambda t: rounded(si.top_matches(_pairs(t), "id1", "id2", "distance", n=3, max_dist=20), 6, "distance"), f"{_TM} select id1, id2, round(distance, 6) distance, cast(k as int) as rank from r where k <= 3")
 add("top_matches_compact", lambda t: si.top_matches(_pairs(t), "id1", "id2", "distance", n=3, max_dist=20, compact=True), f"{_TM} select id1, list(id2 order by k) matches from r where k <= 3 group by 1")
 
-_all_others = lambda t: t.customer.join(t.nation, t.customer.c_nationkey == t.nation.n_nationkey).select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), F.col("c_acctbal").alias("s_acctbal"), F.col("n_regionkey").alias("region"))
-_others = lambda t: _all_others(t).where("s_suppkey % 10 = 0")
+_others = lambda t: t.customer.join(t.nation, t.customer.c_nationkey == t.nation.n_nationkey).select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), F.col("c_acctbal").alias("s_acctbal"), F.col("n_regionkey").alias("region"))
 _SQ = "abs(a.s_acctbal - b.c_acctbal) / 5000"
 add("sim_two_sets", lambda t: rounded(si.record_similarity(_sup(t), "s_suppkey", [Part("s_acctbal", "numeric", 1.0, {"scale": 5000.0})], other=_others(t), block="s_nationkey", threshold=0.5), 6, "distance"),
-    f"select s_suppkey id1, c_custkey id2, round({_SQ}, 6) distance from supplier a join customer b on s_nationkey = c_nationkey and c_custkey % 10 = 0 where {_SQ} <= 0.5")
-# sim_two_sets compares each tenth customer, as its SQL does; this compares all.
-add("sim_two_sets_all", lambda t: rounded(si.record_similarity(_sup(t), "s_suppkey", [Part("s_acctbal", "numeric", 1.0, {"scale": 5000.0})], other=_all_others(t), block="s_nationkey", threshold=0.5), 6, "distance"),
-    registry.sql["sim_two_sets"].replace(" and c_custkey % 10 = 0", ""))
+    f"select s_suppkey id1, c_custkey id2, round({_SQ}, 6) distance from supplier a join customer b on s_nationkey = c_nationkey where {_SQ} <= 0.5")
 for _h, _q in (("euclidean", "sqrt(x * x + y * y) / 2"), ("manhattan", "(x + y) / 2"), ("minkowski", "pow((pow(x, 3) + pow(y, 3)) / 2, 1.0 / 3)"), ("categorical", "(x + y) / 2")):
     add(f"sim_aggregate_{_h}", lambda t, h=_h: rounded(si.record_similarity(_sup(t), "s_suppkey", [Part("s_acctbal", "numeric", 1.0, {"scale": 5000.0}), Part("s_suppkey", "numeric", 1.0, {"scale": 500.0})], block="s_nationkey", how=h), 6, "distance"),
         f"with {_SUP}, d as (select a.s_suppkey id1, b.s_suppkey id2, abs(a.s_acctbal - b.s_acctbal) / 5000 x, abs(a.s_suppkey - b.s_suppkey) / 500 y {_PAIR}) select id1, id2, round({_q}, 6) distance from d")

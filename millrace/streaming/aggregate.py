@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -33,7 +33,8 @@ def running_stats(stream: DataFrame, keys: Sequence[str], attrs: Sequence[str])
 def recency_weighted(stream: DataFrame, key: str, value: str, order: str, step: float) -> DataFrame:
     """key, average, n: avg += step * (v - avg) over each key's values, in the order of ``order`` within a micro-batch.
 
-    The state of a key is two numbers; values come in Arrow batches and are not held.
+    The state of a key is two numbers. A key's values of one micro-batch are held, as they must be put in order; the
+    micro-batch bounds them.
     """
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,17 +61,24 @@ def start(df: DataFrame, checkpoint: str, mode: str = "append", each_batch: Call
     return w.format("parquet").option("path", path).start()
 
 
-def upsert_into(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch that keeps the newest row per key in a directory of batches: readers take max batch_id."""
+def upsert_into(path: str, keys: Sequence[str], order: str) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that keeps the newest row per key, by ``order``, in a directory of batches.
+
+    Of rows of equal order the greatest by the other columns is kept, so a batch that is run again gives the same rows.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(list(keys)).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _newest(batch, keys, F.struct(F.col(order))).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
-def newest(batches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The newest row per key over the batches that ``upsert_into`` wrote."""
-    rest = [c for c in batches.columns if c not in (*keys, "batch", "batch_id")]
-    x = batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r"))
-    return x.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+def _newest(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    x = df.groupBy(*keys).agg(F.max(F.struct(order.alias("_o"), F.struct(*rest).alias("_r"))).alias("_m"))
+    return x.select(*keys, *[F.col(f"_m._r.{c}").alias(c) for c in rest])
+
+
+def newest(batches: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The newest row per key over the batches that ``upsert_into`` wrote: by ``order``, then by batch."""
+    return _newest(batches.drop("batch"), keys, F.struct(order, "batch_id")).drop("batch_id")
