@@ -6,13 +6,19 @@ one projection; the failed tags of a field are an array<string>.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import queue
+import subprocess
+import threading
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.missing import is_missing
 from millrace.operators.common import broadcast_if_small
@@ -162,6 +168,74 @@ def validity_metric(tagged: DataFrame, weights: dict[str, float]) -> DataFrame:
     return tagged.withColumn("valid_fields", count).withColumn("validity", score)
 
 
+def piped(df: DataFrame, columns: Sequence[str], command: Sequence[str], flag: str = "valid", delim: str = ",") -> DataFrame:
+    """Adds ``flag``: what an outside program says of each row.
+
+    One process a task: it gets a line per row with the named fields (null as empty; line breaks and the delimiter in a
+    field as blanks) and answers each with a line, true or false in any case; any other answer is null. A program that
+    fails, or gives another number of lines, fails the task. ``command`` is trusted input.
+    """
+    names, words = list(columns), list(command)
+    schema = T.StructType([*df.schema.fields, T.StructField(flag, T.BooleanType())])
+    at = [df.columns.index(c) for c in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = subprocess.Popen(words, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True, encoding="utf-8", bufsize=1 << 16)
+
+        def feed(lines: list[str]) -> None:
+            p.stdin.write("".join(lines))
+            p.stdin.flush()
+
+        waiting: deque = deque()
+        todo, answers = queue.Queue(maxsize=4), queue.Queue()
+
+        def write() -> None:
+            gone = False
+            while (lines := todo.get()) is not None:
+                try:
+                    if not gone:
+                        feed(lines)
+                except BrokenPipeError:
+                    gone = True  # what it has not read is told by the missing answers
+            try:
+                p.stdin.close()
+            except BrokenPipeError:
+                pass
+
+        def read() -> None:
+            for line in p.stdout:
+                answers.put(line.strip().lower())
+            answers.put(None)
+
+        threads = [threading.Thread(target=f, daemon=True) for f in (write, read)]
+        for t in threads:
+            t.start()
+
+        def answered(b: pa.RecordBatch) -> pa.RecordBatch:
+            said = []
+            for _ in range(b.num_rows):
+                x = answers.get()
+                if x is None:
+                    raise RuntimeError(f"{words[0]} gave too few answers")
+                said.append({"true": True, "false": False}.get(x))
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.bool_())], names=[*b.schema.names, flag])
+
+        clean = str.maketrans({"\n": " ", "\r": " ", delim: " "})
+        for b in batches:
+            fields = [[("" if v is None else str(v)).translate(clean) for v in b.column(i).to_pylist()] for i in at]
+            todo.put([delim.join(r) + "\n" for r in zip(*fields, strict=True)])
+            waiting.append(b)
+            while len(waiting) > 4:
+                yield answered(waiting.popleft())
+        todo.put(None)
+        while waiting:
+            yield answered(waiting.popleft())
+        if answers.get() is not None or p.wait() != 0:
+            raise RuntimeError(f"{words[0]} failed or gave too many answers")
+
+    return df.mapInArrow(run, schema)
+
+
 def external_membership(df: DataFrame, field: str, source: DataFrame, key: str, flag: str = "known") -> DataFrame:
     """Adds whether the field's value is among the source's keys: an equi-join, broadcast only if the keys are few."""
     keys = broadcast_if_small(source.select(F.col(key).cast("string").alias("_key")).where("_key is not null").distinct().withColumn(flag, F.lit(True)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -215,8 +216,9 @@ def chi_square_critical(df: Column, z: float) -> Column:
     return k * F.pow(1 - 2 / (9 * k) + z * F.sqrt(2 / (9 * k)), F.lit(3.0))
 
 
-#: Normal quantiles of the usual significance levels.
-NORMAL_QUANTILES = {0.1: 1.2815515655, 0.05: 1.6448536270, 0.025: 1.9599639845, 0.01: 2.3263478740, 0.001: 3.0902323062}
+def normal_quantile(significance: float) -> float:
+    """The upper normal quantile of any significance level between 0 and 1."""
+    return NormalDist().inv_cdf(1 - significance)
 
 
 def chi_square_reference(a: DataFrame, b: DataFrame, by: Sequence[str], significance: float = 0.05, less_df: int = 3) -> DataFrame:
@@ -230,12 +232,14 @@ def chi_square_reference(a: DataFrame, b: DataFrame, by: Sequence[str], signific
     return _judged(s, by, significance, less_df)
 
 
-def chi_square_normal(hist: DataFrame, by: Sequence[str], significance: float = 0.05, less_df: int = 3) -> DataFrame:
-    """Per group chi square of the counts against the normal distribution of the group's mean and standard deviation."""
+def chi_square_normal(hist: DataFrame, by: Sequence[str], significance: float = 0.05, less_df: int = 3, mean: float | None = None, std_dev: float | None = None) -> DataFrame:
+    """Per group chi square of the counts against a normal distribution: of the given mean and standard deviation, or of
+    the group's own where they are not given."""
     group = Window.partitionBy(*by)
     n = F.sum("count").over(group)
-    mean = F.sum("sum").over(group) / n
-    sd = F.sqrt((F.sum("sum_sq").over(group) - n * mean * mean) / (n - 1))
+    own = F.sum("sum").over(group) / n
+    sd = F.sqrt((F.sum("sum_sq").over(group) - n * own * own) / (n - 1)) if std_dev is None else F.lit(float(std_dev))
+    mean = own if mean is None else F.lit(float(mean))
     x = hist.withColumn("_n", n).withColumn("_m", mean).withColumn("_s", sd)
     lo, hi = [(F.when(F.col("bin") + k != 0 if k == 0 else F.lit(True), (F.col("bin") + k) * F.col("width")).otherwise(F.lit(0.0)) - F.col("_m")) / F.col("_s") for k in (0, 1)]
     x = x.withColumn("_e", F.greatest(F.col("_n") * (normal_cdf(hi) - normal_cdf(lo)), F.lit(1e-9)))
@@ -245,7 +249,7 @@ def chi_square_normal(hist: DataFrame, by: Sequence[str], significance: float =
 
 def _judged(s: DataFrame, by: Sequence[str], significance: float, less_df: int) -> DataFrame:
     degrees = F.greatest(F.col("_k") - less_df, F.lit(1))
-    critical = chi_square_critical(degrees, NORMAL_QUANTILES[significance])
+    critical = chi_square_critical(degrees, normal_quantile(significance))
     return s.select(*by, "chi_square", degrees.cast("int").alias("degrees"), critical.alias("critical"), (F.col("chi_square") < critical).alias("fitted"))
 
 

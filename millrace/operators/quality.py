@@ -95,17 +95,24 @@ def impute_nn(neighbours: DataFrame, ident: str, values: Mapping[str, str], dist
 PRE = {"additiveInverse": lambda c: -c, "multiplicativeInverse": lambda c: F.try_divide(F.lit(1.0), c), None: lambda c: c}
 
 
-def normalize(df: DataFrame, attrs: Sequence[str], strategy: str, scale: float = 1.0, trunc: float | None = None, unit_range: bool = True, pre: str | None = None, keys: Sequence[str] = (), ddof: int = 0, drop_outliers: bool = False) -> DataFrame:
+def normalize(df: DataFrame, attrs: Sequence[str], strategy: str, scale: float = 1.0, trunc: float | None = None, unit_range: bool = True, pre: str | None = None, keys: Sequence[str] = (), ddof: int = 0, drop_outliers: bool = False, stats: DataFrame | None = None) -> DataFrame:
     """The attributes normalised by minMax, max, zScore, center, decimal or unitSum, times ``scale``.
 
     zScore: with ``trunc``, values beyond +- trunc are held there (or their rows dropped) and, with ``unit_range``,
     brought to [0, 1]. decimal: by the least power of ten above the largest magnitude. ``pre``: additiveInverse or
     multiplicativeInverse first. Constant attributes give null, where the spread is the divisor. One aggregation.
+
+    ``stats``: saved statistics in place of those of ``df``, as ``numerical_stats`` gives them: the keys, attr, sum, mean,
+    std_dev, min and max of the values after ``pre``. Rows whose key they lack get null.
     """
     p = {a: PRE[pre](F.col(a).cast("double")) for a in attrs}
     sd = F.stddev_pop if ddof == 0 else F.stddev_samp
-    s = df.groupBy(*keys).agg(*[f(p[a]).alias(f"_{n}_{a}") for a in attrs for n, f in (("lo", F.min), ("hi", F.max), ("m", F.avg), ("s", sd), ("t", F.sum), ("x", lambda c: F.max(F.abs(c))))])
-    x = df.join(s, list(keys)) if keys else df.join(F.broadcast(s))  # one row without keys
+    if stats is not None:
+        names = {"lo": F.col("min"), "hi": F.col("max"), "m": F.col("mean"), "s": F.col("std_dev"), "t": F.col("sum"), "x": F.greatest(F.abs("min"), F.abs("max"))}
+        s = stats.groupBy(*keys).agg(*[F.max(F.when(F.col("attr") == a, c)).alias(f"_{n}_{a}") for a in attrs for n, c in names.items()])
+    else:
+        s = df.groupBy(*keys).agg(*[f(p[a]).alias(f"_{n}_{a}") for a in attrs for n, f in (("lo", F.min), ("hi", F.max), ("m", F.avg), ("s", sd), ("t", F.sum), ("x", lambda c: F.max(F.abs(c))))])
+    x = df.join(s, list(keys), "left" if stats is not None else "inner") if keys else df.join(F.broadcast(s))  # one row without keys
     keep, out = [], {}
     for a in attrs:
         lo, hi, m, dev, total, most = (F.col(f"_{n}_{a}") for n in ("lo", "hi", "m", "s", "t", "x"))

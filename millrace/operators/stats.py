@@ -176,8 +176,10 @@ def crosscorrelation(df: DataFrame, keys: Sequence[str], seq: str, pairs: Sequen
     return s.select(*keys, F.inline(each))
 
 
-def covariance(df: DataFrame, attrs: Sequence[str], keys: Sequence[str] = (), ddof: int = 0) -> DataFrame:
-    """Per key the mean vector and the covariance of every pair of attributes (i <= j): attr1, attr2, mean1, mean2, covariance."""
+def covariance(df: DataFrame, attrs: Sequence[str], keys: Sequence[str] = (), ddof: int = 0, season: Column | None = None) -> DataFrame:
+    """Per key [season] the mean vector and the covariance of every pair of attributes (i <= j): attr1, attr2, mean1, mean2, covariance."""
+    df, more = _seasoned(df, season)
+    keys = [*keys, *more]
     cov = F.covar_pop if ddof == 0 else F.covar_samp
     pairs = [(i, j) for i in range(len(attrs)) for j in range(i, len(attrs))]
     s = df.groupBy(*keys).agg(*[F.avg(a).alias(f"_m{i}") for i, a in enumerate(attrs)], *[cov(attrs[i], attrs[j]).alias(f"_c{i}_{j}") for i, j in pairs])
@@ -185,21 +187,34 @@ def covariance(df: DataFrame, attrs: Sequence[str], keys: Sequence[str] = (), dd
     return s.select(*keys, F.inline(F.array(*cells)))
 
 
-def mahalanobis(df: DataFrame, attrs: Sequence[str], keys: Sequence[str] = (), output: str = "mahalanobis") -> DataFrame:
+def mahalanobis(df: DataFrame, attrs: Sequence[str], keys: Sequence[str] = (), output: str = "mahalanobis", saved: DataFrame | None = None) -> DataFrame:
     """Adds the distance of each row from its key's mean. The inverse is taken per key (a row of k x k numbers); singular
-    matrices use the pseudo-inverse. Rows with nulls in an attribute get null."""
+    matrices use the pseudo-inverse. Rows with nulls in an attribute get null.
+
+    ``saved``: means and covariances of these keys, as ``covariance`` gives them, in place of those of ``df``; rows whose
+    key they lack get null.
+    """
     k = len(attrs)
-    whole = df.dropna(subset=list(attrs)).groupBy(*keys).agg(*[F.avg(a).alias(f"_m{i}") for i, a in enumerate(attrs)], F.array(*[F.covar_pop(a, b) for a in attrs for b in attrs]).alias("_c"))
+    if saved is not None:
+        at = {a: i for i, a in enumerate(attrs)}
+        pair = lambda a, b: F.max(F.when((F.least(_place(at, "attr1"), _place(at, "attr2")) == min(at[a], at[b])) & (F.greatest(_place(at, "attr1"), _place(at, "attr2")) == max(at[a], at[b])), F.col("covariance")))
+        whole = saved.groupBy(*keys).agg(*[F.max(F.when(F.col("attr1") == a, F.col("mean1")).when(F.col("attr2") == a, F.col("mean2"))).alias(f"_m{i}") for i, a in enumerate(attrs)], F.array(*[pair(a, b) for a in attrs for b in attrs]).alias("_c"))
+    else:
+        whole = df.dropna(subset=list(attrs)).groupBy(*keys).agg(*[F.avg(a).alias(f"_m{i}") for i, a in enumerate(attrs)], F.array(*[F.covar_pop(a, b) for a in attrs for b in attrs]).alias("_c"))
 
     @F.pandas_udf("array<double>")
     def inverse(c: pd.Series) -> pd.Series:
         return c.map(lambda m: np.linalg.pinv(np.array(m, float).reshape(k, k)).ravel().tolist())
 
     s = whole.withColumn("_i", inverse("_c")).drop("_c")
-    x = df.join(s, list(keys)) if keys else df.join(F.broadcast(s))  # one row without keys
+    x = df.join(s, list(keys), "left" if saved is not None else "inner") if keys else df.join(F.broadcast(s))  # one row without keys
     d = [F.col(a) - F.col(f"_m{i}") for i, a in enumerate(attrs)]
     q = sum((d[i] * d[j] * F.col("_i")[i * k + j] for i in range(k) for j in range(k)), F.lit(0.0))
-    return x.withColumn(output, F.sqrt(F.greatest(q, F.lit(0.0)))).drop("_i", *[f"_m{i}" for i in range(k)])
+    return x.withColumn(output, F.when(q.isNotNull(), F.sqrt(F.greatest(q, F.lit(0.0))))).drop("_i", *[f"_m{i}" for i in range(k)])
+
+
+def _place(at: dict[str, int], name: str) -> Column:
+    return F.create_map(*[x for a, i in at.items() for x in (F.lit(a), F.lit(i))])[F.col(name)]
 
 
 def moving_average(df: DataFrame, keys: Sequence[str], seq: str, attr: str, before: int, after: int = 0, output: str = "moving_average") -> DataFrame:

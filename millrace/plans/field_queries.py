@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import sampling
 from millrace.functions import transform as tr
@@ -12,6 +13,8 @@ from millrace.functions.transform import Spec, transform
 from millrace.operators import stats as st
 from millrace.operators.common import scratch
 from millrace.plans.registry import Registry
+from millrace.sources import streams, text
+from millrace.sources.tables import read
 from millrace.streaming import aggregate as stream
 
 registry = Registry()
@@ -190,6 +193,33 @@ add("val_outlier", lambda t: va.outlier_validate(t.events, st.numerical_stats(t.
     "select event_id from events join (select user_id, avg(value) m, stddev_pop(value) s, count(value) n from events group by 1) using (user_id) where n >= 2 and abs(value - m) > sqrt(1 / 0.3) * s")
 add("val_custom_python", lambda t: va.tag_rows(t.part, [va.Check("p_name", "twoWords", {})], custom={"twoWords": lambda c, **_: F.size(F.split(c, " ")) == 2}).select("p_partkey", "valid"), "select p_partkey, len(string_split(p_name, ' ')) = 2 as valid from part")
 
+#: An outside program that judges a line per row.
+_JUDGE = "import sys\nfor s in sys.stdin:\n    b, m = s.rstrip(chr(10)).split(',')\n    print('true' if float(b) >= 0 and m != 'BUILDING' else 'false')"
+add("val_piped", lambda t: va.piped(t.customer.select("c_custkey", "c_acctbal", "c_mktsegment"), ["c_acctbal", "c_mktsegment"], ["python3", "-c", _JUDGE]), "select c_custkey, c_acctbal, c_mktsegment, c_acctbal >= 0 and c_mktsegment <> 'BUILDING' as valid from customer")
+
+# Delimited text, written and read back
+
+
+def text_round_trip(spark: SparkSession, directory: str) -> DataFrame:
+    """A table through delimited text, a directory per entity."""
+    path = scratch(spark, "text")
+    text.write_delimited(read(spark, directory, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey"), path, precision=1, partition_by=["c_nationkey"])
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()), T.StructField("c_acctbal", T.DoubleType()), T.StructField("c_mktsegment", T.StringType())])
+    return text.read_delimited(spark, path, schema)
+
+
+def text_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """Lines of text cut to named fields."""
+    path = scratch(spark, "lines")
+    text.write_delimited(read(spark, directory, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, sep=";")
+    return text.split_lines(text.read_lines(spark, path), "value", ["key", "name", "region"], ";")
+
+
+for _f in (text_round_trip, text_lines):
+    registry.queries[_f.__name__] = _f
+registry.sql["text_round_trip"] = "select c_custkey, c_name, round(c_acctbal, 1) c_acctbal, c_mktsegment, c_nationkey from customer"
+registry.sql["text_lines"] = "select cast(n_nationkey as varchar) as key, n_name as name, cast(n_regionkey as varchar) region from nation"
+
 # Samplers (no SQL: random)
 
 add("sample_distributions", lambda t: t.customer.select("c_custkey", sampling.uniform(0, 1, 1).alias("u"), sampling.normal(5, 2, 2).alias("n"), sampling.exponential(0.5, 3).alias("e"), sampling.categorical({"a": 1, "b": 3}, 4).alias("c"), sampling.non_parametric([1, 2, 1], 10.0, 0.0, 5).alias("h"), sampling.random_text(6, 7).alias("s"), sampling.ranked(4, 9).alias("r"), sampling.uniform_int(1, 6, 10).alias("d"), sampling.poisson_events(2.0, 3, 11).alias("p")))
@@ -203,7 +233,7 @@ def _drained(spark: SparkSession, directory: str, table: str, build, mode: str)
     """Run a streaming query over a table's files to its end and read what it wrote from the shared folder."""
     root = scratch(spark, "stream")
     path = f"{directory}/{table}.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*" if not path.endswith("/") else path)
+    source = streams.directory(spark, path + "*", spark.read.parquet(path).schema, "parquet")
     out = f"{root}/out"
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -231,9 +261,19 @@ def stream_recency(spark: SparkSession, directory: str) -> DataFrame:
     return x.groupBy("key").agg(F.max_by(F.struct("average", "n"), "batch").alias("r")).select("key", "r.average", "r.n")
 
 
-for _q in (stream_tumbling, stream_running, stream_recency):
+def stream_newest(spark: SparkSession, directory: str) -> DataFrame:
+    """The newest event per user, kept batch by batch."""
+    root = scratch(spark, "stream")
+    path = f"{directory}/events.parquet"
+    source = streams.directory(spark, path + "*", spark.read.parquet(path).schema, "parquet").select("user_id", "event_id", "event_type", "ts").where("user_id is not null")
+    stream.start(source, f"{root}/state", "append", each_batch=stream.upsert_into(f"{root}/out", ["user_id"], "event_id")).awaitTermination()
+    return stream.newest(spark.read.parquet(f"{root}/out"), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+for _q in (stream_tumbling, stream_running, stream_recency, stream_newest):
     registry.queries[_q.__name__] = _q
 registry.sql["stream_tumbling"] = "select event_type, cast(epoch_us(ts) // 1000000 - epoch_us(ts) // 1000000 % 21600 as bigint) bucket, 'value' attr, count(value) as count from events group by all"
+registry.sql["stream_newest"] = "select user_id, max(event_id) event_id, arg_max(event_type, event_id) event_type from events where user_id is not null group by 1"
 registry.sql["stream_running"] = "select event_type, 'value' attr, count(value) as count, round(avg(value), 4) mean, round(stddev_pop(value), 4) std_dev from events group by 1"
 
 QUERIES, SQL = registry.queries, registry.sql

@@ -111,6 +111,13 @@ add("covariance", lambda t: rounded(st.covariance(t.lineitem, ["l_quantity", "l_
     f"select l_returnflag, unnest(['l_quantity', 'l_quantity', 'l_extendedprice']) attr1, unnest(['l_quantity', 'l_extendedprice', 'l_extendedprice']) attr2, round(unnest([a, a, b]), 2) mean1, round(unnest([a, b, b]), 2) mean2, round(unnest([aa, ab, bb]), 2) covariance from ({_CV})")
 add("mahalanobis", lambda t: st.mahalanobis(t.lineitem, ["l_quantity", "l_extendedprice"], ["l_returnflag"]).select("l_orderkey", "l_linenumber", "l_partkey", F.round("mahalanobis", 4).alias("mahalanobis")),
     f"select l_orderkey, l_linenumber, l_partkey, round(sqrt(((l_quantity - a) * (l_quantity - a) * bb - 2 * (l_quantity - a) * (l_extendedprice - b) * ab + (l_extendedprice - b) * (l_extendedprice - b) * aa) / (aa * bb - ab * ab)), 4) mahalanobis from lineitem join ({_CV}) using (l_returnflag)")
+add("covariance_season", lambda t: rounded(st.covariance(t.events.withColumn("user", F.col("user_id").cast("double")), ["value", "user"], ["event_type"], season=season_index(_seconds(t.events), "sixHourOfDay")), 3, "mean1", "mean2", "covariance"),
+    """with s as (select event_type, cast((epoch_us(ts) // 1000000 % 86400) // 21600 as bigint) season_index, avg(value) a, avg(user_id) b, covar_pop(value, value) aa, covar_pop(value, user_id) ab, covar_pop(user_id, user_id) bb from events group by all)
+    select event_type, season_index, unnest(['value', 'value', 'user']) attr1, unnest(['value', 'user', 'user']) attr2, round(unnest([a, a, b]), 3) mean1, round(unnest([a, b, b]), 3) mean2, round(unnest([aa, ab, bb]), 3) covariance from s""")
+add("mahalanobis_saved", lambda t: st.mahalanobis(t.lineitem, ["l_quantity", "l_extendedprice"], ["l_returnflag"], saved=st.covariance(t.lineitem.where("l_linestatus = 'F'"), ["l_quantity", "l_extendedprice"], ["l_returnflag"])).select("l_orderkey", "l_linenumber", "l_partkey", F.round("mahalanobis", 4).alias("mahalanobis")),
+    f"select l_orderkey, l_linenumber, l_partkey, round(sqrt(((l_quantity - a) * (l_quantity - a) * bb - 2 * (l_quantity - a) * (l_extendedprice - b) * ab + (l_extendedprice - b) * (l_extendedprice - b) * aa) / (aa * bb - ab * ab)), 4) mahalanobis from lineitem left join ({_CV.replace('lineitem', 'lineitem where l_linestatus = ' + chr(39) + 'F' + chr(39))}) using (l_returnflag)")
+add("norm_saved_stats", lambda t: rounded(qu.normalize(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), ["l_quantity"], "zScore", keys=["l_returnflag"], stats=st.numerical_stats(t.lineitem.where("l_linestatus = 'F'"), ["l_quantity"], ["l_returnflag"])), 6, "l_quantity"),
+    "select l_orderkey, l_linenumber, l_returnflag, round((l_quantity - m) / s, 6) l_quantity from lineitem left join (select l_returnflag, avg(l_quantity) m, stddev_pop(l_quantity) s from lineitem where l_linestatus = 'F' group by 1) using (l_returnflag)")
 add("moving_average", lambda t: st.moving_average(_daily(t), ["event_type"], "day", "x", 6).select("event_type", "day", F.round("moving_average", 4).alias("moving_average")),
     f"with {_DY} select event_type, day, round(avg(x) over (partition by event_type order by day rows between 6 preceding and current row), 4) moving_average from d")
 add("regression", lambda t: rounded(st.regression(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice"), 4, "slope", "intercept", "r2"),
@@ -176,7 +183,23 @@ add("fit_ks", lambda t: rounded(hi.kolmogorov_smirnov(*_two(t), ["l_returnflag"]
 add("fit_kl", lambda t: rounded(hi.kullback_leibler(*_two(t), ["l_returnflag"]), 6, "kl"), f"with {_FIT} select l_returnflag, round(sum(case when a > 0 and b > 0 then a / na * ln((a / na) / (b / nb)) end) / sum(case when a > 0 and b > 0 then a / na end), 6) kl from s group by 1")
 add("fit_chi2_ref", lambda t: hi.chi_square_reference(*_two(t), ["l_returnflag"]).select("l_returnflag", F.round("chi_square", 4).alias("chi_square"), "degrees"),
     f"with {_FIT}, g as (select l_returnflag, case when b = 0 then a + 1 else a end a, greatest(b, 1) b from s), e as (select *, b * sum(a) over p / sum(b) over p e from g window p as (partition by l_returnflag)) select l_returnflag, round(sum((a - e) * (a - e) / e), 4) chi_square, cast(count(*) - 3 as int) degrees from e group by 1")
-add("fit_chi2_normal", lambda t: rounded(hi.chi_square_normal(_hist(t), ["l_returnflag"]), 3, "chi_square", "critical"))
+_PHI = "case when {z} >= 0 then 1 - {u} else {u} end"
+_UP = "exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))"
+
+
+def _phi(z):
+    return _PHI.format(z=z, u=_UP.format(z=z, t=f"(1 / (1 + 0.2316419 * abs({z})))"))
+
+
+def _normal_fit(moments):
+    """SQL of chi square against a normal distribution; ``moments``: expressions of mean and deviation over window g."""
+    return f"""with {_H}, m as (select l_returnflag, bin, width, count c, sum(count) over g n, {moments} from h window g as (partition by l_returnflag)),
+    e as (select l_returnflag, c, greatest(n * ({_phi("(((bin + 1) * width - mu) / sd)")} - {_phi("((bin * width - mu) / sd)")}), 1e-9) e from m), k as (select l_returnflag, sum((c - e) * (c - e) / e) x, greatest(count(*) - 3, 1) d from e group by 1),
+    r as (select l_returnflag, x, d, d * pow(1 - 2.0 / (9 * d) + 1.6448536269514722 * sqrt(2.0 / (9 * d)), 3) v from k) select l_returnflag, round(x, 3) chi_square, cast(d as int) degrees, round(v, 3) critical, x < v fitted from r"""
+
+
+add("fit_chi2_normal", lambda t: rounded(hi.chi_square_normal(_hist(t), ["l_returnflag"]), 3, "chi_square", "critical"), _normal_fit("sum(sum) over g / n mu, sqrt((sum(sum_sq) over g - n * mu * mu) / (n - 1)) sd"))
+add("fit_chi2_given", lambda t: rounded(hi.chi_square_normal(_hist(t), ["l_returnflag"], mean=38000.0, std_dev=23000.0), 3, "chi_square", "critical"), _normal_fit("38000.0::double mu, 23000.0::double sd"))
 
 # Profiling counters
 
@@ -286,6 +309,12 @@ _others = lambda t: t.customer.join(t.nation, t.customer.c_nationkey == t.nation
 _SQ = "abs(a.s_acctbal - b.c_acctbal) / 5000"
 add("sim_two_sets", lambda t: rounded(si.record_similarity(_sup(t), "s_suppkey", [Part("s_acctbal", "numeric", 1.0, {"scale": 5000.0})], other=_others(t), block="s_nationkey", threshold=0.5), 6, "distance"),
     f"select s_suppkey id1, c_custkey id2, round({_SQ}, 6) distance from supplier a join customer b on s_nationkey = c_nationkey where {_SQ} <= 0.5")
+# The distances of priorities, by how they share out over the states of orders, looked up in the comparison of customers' nations.
+_VDM = {("1-URGENT", "2-HIGH"): 0.1, ("1-URGENT", "3-MEDIUM"): 0.4, ("5-LOW", "1-URGENT"): 0.9, ("2-HIGH", "3-MEDIUM"): 0.3}
+_VT = " union all ".join(f"select '{min(k)}' u, '{max(k)}' w, {v} d" for k, v in _VDM.items())
+_most = lambda t: t.supplier.select("s_suppkey", "s_nationkey", F.element_at(F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]), F.pmod("s_suppkey", F.lit(5)).cast("int") + 1).alias("p"))
+add("sim_value_difference", lambda t: si.record_similarity(_most(t), "s_suppkey", [Part("p", "valueDifference", 1.0, {"table": _VDM})], block="s_nationkey"),
+    f"with v as ({_VT}), s as (select s_suppkey, s_nationkey, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][s_suppkey % 5 + 1] p from supplier) select a.s_suppkey id1, b.s_suppkey id2, case when a.p = b.p then 0 else coalesce(d, 1) end::double distance {_PAIR} left join v on u = least(a.p, b.p) and w = greatest(a.p, b.p)")
 for _h, _q in (("euclidean", "sqrt(x * x + y * y) / 2"), ("manhattan", "(x + y) / 2"), ("minkowski", "pow((pow(x, 3) + pow(y, 3)) / 2, 1.0 / 3)"), ("categorical", "(x + y) / 2")):
     add(f"sim_aggregate_{_h}", lambda t, h=_h: rounded(si.record_similarity(_sup(t), "s_suppkey", [Part("s_acctbal", "numeric", 1.0, {"scale": 5000.0}), Part("s_suppkey", "numeric", 1.0, {"scale": 500.0})], block="s_nationkey", how=h), 6, "distance"),
         f"with {_SUP}, d as (select a.s_suppkey id1, b.s_suppkey id2, abs(a.s_acctbal - b.s_acctbal) / 5000 x, abs(a.s_suppkey - b.s_suppkey) / 500 y {_PAIR}) select id1, id2, round({_q}, 6) distance from d")
