@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-#: Place of the vocabulary: ranks in base 64, one token a line. Every executor needs the file there.
+#: Setting of the session that names the vocabulary: ranks in base 64, one token a line. Every executor needs the file there.
+SETTING = "spark.millrace.vocabulary"
+#: Its place where the session does not name one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenizer's pattern that belongs to this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -44,12 +46,13 @@ def count_tokens(text: str, path: str = VOCABULARY) -> int:
     return total
 
 
-def token_sizes(df: DataFrame, ident: str, text: str, keep: list[str] | None = None, path: str = VOCABULARY) -> DataFrame:
+def token_sizes(df: DataFrame, ident: str, text: str, keep: list[str] | None = None, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the kept columns of every row with a text; rows without id or text are left out.
 
     The text is read once, in Arrow batches, and goes no further than the task that counts it.
     """
     kept = keep or []
+    path = path or df.sparkSession.conf.get(SETTING, VOCABULARY)
     source = df.select(F.col(ident).cast("long").alias("doc_id"), *kept, F.col(text).alias("_text")).where("doc_id is not null and _text is not null")
     kinds = source.drop("_text").schema
 
