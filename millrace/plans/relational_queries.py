@@ -174,6 +174,9 @@ add("join_inner", _join, _JSQL.format(key="c_custkey", c="c_name", o="o_orderkey
 add("join_left_default", lambda t: _join(t, right_default=0), _JSQL.format(key="c_custkey", c="c_name", o=_OK, how="left"))
 add("join_right_default", lambda t: _join(t, left_default="none"), _JSQL.format(key="o_custkey", c=_CN, o="o_orderkey", how="right"))
 add("join_full_default", lambda t: _join(t, left_default="none", right_default=0, key_position="end"), _JSQL.format(key="coalesce(c_custkey, o_custkey)", c=_CN, o=_OK, how="full"))
+_per_segment = lambda t: t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.max("c_acctbal").alias("most"))
+add("join_composite", lambda t: r.join(t.customer, _per_segment(t), ["c_nationkey", "c_mktsegment"], ["c_nationkey", "c_mktsegment"], ["c_custkey", "c_acctbal"], ["n"], None, "most gt 9500", right_default=0),
+    "select c_nationkey key0, c_mktsegment key1, c_custkey, c_acctbal, coalesce(n, 0) n from customer left join (select c_nationkey, c_mktsegment, count(*) n from customer group by all having max(c_acctbal) > 9500) using (c_nationkey, c_mktsegment)")
 _ROLES = lambda t: {"n": (t.nation, "n_nationkey", ["n_name"], None), "c": (t.customer, "c_nationkey", ["c_name"], None), "s": (t.supplier, "s_nationkey", ["s_name"], None)}
 add("multi_join_inner", lambda t: r.multi_join(_ROLES(t)), f"select n_nationkey as key, n_name n_n_name, c_name c_c_name, s_name s_s_name from nation join customer on c_nationkey = n_nationkey join supplier on s_nationkey = n_nationkey")
 add("multi_join_outer", lambda t: r.multi_join(_ROLES(t), outer=True), f"select n_nationkey as key, coalesce(n_name, '') n_n_name, coalesce(c_name, '') c_c_name, coalesce(s_name, '') s_s_name from nation left join customer on c_nationkey = n_nationkey left join supplier on s_nationkey = n_nationkey")
@@ -191,6 +194,15 @@ _SA, _SB = "select c_custkey as k, c_mktsegment v from customer where c_acctbal
 _sets = lambda t: tuple(t.customer.where(w).select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")) for w in ("c_acctbal < 5000", "c_acctbal >= 0"))
 for _op, _q in (("intersect", f"({_SA}) intersect ({_SB})"), ("union", f"({_SA}) union all ({_SB})"), ("firstMinusSecond", f"({_SA}) except ({_SB})"), ("secondMinusFirst", f"({_SB}) except ({_SA})")):
     add(f"set_key_{_op}", lambda t, o=_op: r.set_op(*_sets(t), o, ["k"]), _q)
+# Keys that repeat: only those that occur exactly once count.
+_open_and_done = lambda t: tuple(t.orders.where(w).select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")) for w in ("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'", "o_orderstatus = 'F' and o_orderpriority = '2-HIGH'"))
+_OD = "a as (select o_custkey as k, o_orderkey v from orders where o_orderstatus = 'O' and o_orderpriority = '1-URGENT'), b as (select o_custkey as k, o_orderkey v from orders where o_orderstatus = 'F' and o_orderpriority = '2-HIGH')"
+for _op, _q in (
+    ("intersect", "select k, v from a where k in (select k from a group by k having count(*) = 1) and k in (select k from b group by k having count(*) = 1)"),
+    ("firstMinusSecond", "select k, v from a where k in (select k from a group by k having count(*) = 1) and k not in (select k from b)"),
+    ("secondMinusFirst", "select k, v from b where k in (select k from b group by k having count(*) = 1) and k not in (select k from a)"),
+):
+    add(f"set_repeated_key_{_op}", lambda t, o=_op: r.set_op(*_open_and_done(t), o, ["k"]), f"with {_OD} {_q}")
 _values = lambda t: (t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("v")), t.customer.where("c_acctbal < 0").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("v")))
 _VA = "a as (select c_nationkey k, list_sort(list(distinct c_mktsegment)) x from customer group by 1), b as (select c_nationkey k, list_sort(list(distinct c_mktsegment)) y from customer where c_acctbal < 0 group by 1), j as (select k, coalesce(x, []) x, coalesce(y, []) y from a full join b using (k))"
 for _op, _q in (
