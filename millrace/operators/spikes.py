@@ -193,22 +193,23 @@ def _flags(t: pa.Table, reach: float, min_run: int, max_rounds: int | None) -> p
 
 def _scan(reach: float, min_run: int, max_rounds: int | None, at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, rows, last, changed = [], 0, None, False
         for b in batches:
+            if not b.num_rows:
+                continue
+            ends = [(b["source"][i].as_py(), b["slice"][i].as_py()) for i in (0, b.num_rows - 1)]  # rows are in order
+            changed |= ends[0] != ends[1] or (last is not None and last != ends[0])
+            last = ends[1]
             held.append(b)
             rows += b.num_rows
-            if rows < at_once:
+            if rows < at_once or not changed:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             src, part = t["source"].combine_chunks(), t["slice"].to_numpy()
             change = pc.not_equal(src.slice(1), src.slice(0, rows - 1)).to_numpy(zero_copy_only=False) | (part[1:] != part[:-1])
-            at = np.flatnonzero(change)
-            if not len(at):
-                held = t.to_batches()
-                continue
-            k = int(at[-1]) + 1
+            k = int(np.flatnonzero(change)[-1]) + 1
             yield _flags(t.slice(0, k), reach, min_run, max_rounds)
-            held, rows = t.slice(k).to_batches(), rows - k
+            held, rows, changed = t.slice(k).to_batches(), rows - k, False
         if rows:
             yield _flags(pa.Table.from_batches(held).combine_chunks(), reach, min_run, max_rounds)
 
