@@ -1,6 +1,7 @@
 """The general operators on hand-made rows: edge cases, ties, missing values, empty tables."""
 
 import math
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -241,6 +242,29 @@ def test_normal_cdf_and_critical(spark):
     assert abs(row[0] - 0.9750021) < 1e-6 and abs(row[1] - 0.1586553) < 1e-6 and abs(row[2] - 18.307) < 0.02
 
 
+@pytest.mark.parametrize("outer", [False, True])
+def test_multi_join_cuts_crowded_keys(spark, monkeypatch, outer):
+    monkeypatch.setattr(r, "PIECE", 20_000, raising=False)
+    monkeypatch.setattr(r, "LEAST", 5_000, raising=False)
+    a = [(k, f"a{i // 2}") for k, n in ((1, 800), (2, 30), (3, 5), (4, 7000), (None, 3)) for i in range(n)]
+    b = [(k, f"b{i}") for k, n in ((1, 150), (2, 900), (3, 4), (5, 2), (None, 2)) for i in range(n)]
+    c = [(1, "c"), (2, "c"), (3, "c"), (6, "c")]
+    frames = {n: (spark.createDataFrame(rows, "k int, v string"), "k", ["v"], None) for n, rows in (("a", a), ("b", b), ("c", c))}
+    by = [{} for _ in range(3)]
+    for side, rows in zip(by, (a, b, c), strict=True):
+        for k, v in rows:
+            side.setdefault(k, []).append(v)
+    none, keys = ([""], set().union(*by) - {None}) if outer else ([], set(by[0]) & set(by[1]) & set(by[2]))
+    want = Counter((k, x, y, z) for k in keys for x in by[0].get(k, none) for y in by[1].get(k, none) for z in by[2].get(k, none))
+    if outer:
+        want += Counter([(None, v, "", "") for v in by[0][None]] + [(None, "", v, "") for v in by[1][None]])
+    x = r.multi_join(frames, outer)
+    assert x.columns == ["key", "a_v", "b_v", "c_v"]
+    assert Counter(map(tuple, x.collect())) == want
+    tasks = [t["count"] for t in x.where("key = 1").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 800 * 150 and max(tasks) < 70_000  # no task makes a crowded key's rows alone
+
+
 # Profiling, quality, similarity, sequences, extraction
 
 
