@@ -1,6 +1,7 @@
 """The general operators on hand-made rows: edge cases, ties, missing values, empty tables."""
 
 import math
+import re
 from collections import Counter
 from datetime import datetime
 
@@ -310,6 +311,45 @@ def test_similarity(spark):
     assert abs(row[0]) < 1e-12 and row[1] == 0.75 and row[2] == 0.0 and row[3] == 2.5
 
 
+def _text_records():
+    words = ["red", "blue", "green", "steel", "Steel", "a", "b", "ring ring", "x-ray"]
+    text = lambda i: None if i % 53 == 7 else "" if i % 31 == 3 else " ".join(words[(i * k * k + k) % 9] for k in range(1, 2 + i % 5)) + f" u{i % 40}"
+    return [(i * 7 % 1009, i % 2, text(i)) for i in range(160)]
+
+
+def _text_distance(how, x, y):
+    if x is None or y is None:
+        return None
+    cut = (lambda t: [t[k : k + 2] for k in range(len(t) - 1)]) if how == "charPair" else lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    a, b = Counter(cut(x)), Counter(cut(y))
+    if how == "cosine":
+        n = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        return 1 - sum(a[w] * b[w] for w in a) / n if n else 1.0
+    m, both = len(a.keys() & b.keys()), len(a) + len(b)
+    if how == "jaccard":
+        both -= m
+        return 1 - m / both if both else 0.0
+    return 1 - 2 * m / both if both else 0.0
+
+
+def _spread_texts(spark, monkeypatch, how, chunks):
+    monkeypatch.setattr(si, "PAIRS", 500, raising=False)
+    monkeypatch.setattr(si, "BATCH", 700, raising=False)
+    rows = _text_records()
+    want = {(min(a, b), max(a, b)): _text_distance(how, x, y) for k, (a, p, x) in enumerate(rows) for b, q, y in rows[k + 1 :] if p == q}
+    out = si.record_similarity(spark.createDataFrame(rows, "id int, b int, v string"), "id", [di.Part("v", "text", 1.0, {"strategy": how})], block="b", chunks=chunks)
+    got = out.collect()
+    assert len(got) == len(want) and all(x["id1"] < x["id2"] for x in got)
+    assert all(x["distance"] == want[x["id1"], x["id2"]] or abs(x["distance"] - want[x["id1"], x["id2"]]) < 1e-12 for x in got)
+    tasks = [t["count"] for t in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 1 and max(tasks) < len(want)  # tables of few bytes, but of many pairs
+
+
+@pytest.mark.parametrize("chunks", [1, 4])
+def test_texts_by_cosine_are_spread(spark, monkeypatch, chunks):
+    _spread_texts(spark, monkeypatch, "cosine", chunks)
+
+
 def test_ewma_has_a_keys_whole_history(spark):
     rows = [(k, i, None if i % 97 == 5 else float((i * 37) % 11) + (1000.0 if i < 20 else 0.0)) for k in ("a", "b", None) for i in range(700)]
     want = {}
