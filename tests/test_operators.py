@@ -350,6 +350,18 @@ def test_texts_by_cosine_are_spread(spark, monkeypatch, chunks):
     _spread_texts(spark, monkeypatch, "cosine", chunks)
 
 
+@pytest.mark.parametrize("chunks", [1, 4])
+def test_texts_by_jaccard_are_spread(spark, monkeypatch, chunks):
+    _spread_texts(spark, monkeypatch, "jaccard", chunks)
+
+
+@pytest.mark.parametrize("chunks", [1, 3])
+def test_jaccard_weighs_the_record_of_the_lesser_id_first(spark, chunks):
+    df = spark.createDataFrame([(i, "a " + " ".join(f"w{k}" for k in range(i))) for i in range(12)], "id int, v string")
+    got = si.record_similarity(df, "id", [di.Part("v", "text", 1.0, {"strategy": "jaccard", "weight_a": 5.0, "weight_b": 2.0})], chunks=chunks, include_self=True).collect()
+    assert len(got) == 78 and all(abs(x["distance"] - (1 - (x["id1"] + 1) / (x["id1"] + 1 + 2 * (x["id2"] - x["id1"])))) < 1e-12 for x in got)
+
+
 def test_ewma_has_a_keys_whole_history(spark):
     rows = [(k, i, None if i % 97 == 5 else float((i * 37) % 11) + (1000.0 if i < 20 else 0.0)) for k in ("a", "b", None) for i in range(700)]
     want = {}
