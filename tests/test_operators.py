@@ -362,6 +362,27 @@ def test_jaccard_weighs_the_record_of_the_lesser_id_first(spark, chunks):
     assert len(got) == 78 and all(abs(x["distance"] - (1 - (x["id1"] + 1) / (x["id1"] + 1 + 2 * (x["id2"] - x["id1"])))) < 1e-12 for x in got)
 
 
+@pytest.mark.parametrize("chunks", [1, 4])
+def test_character_pairs_are_spread(spark, monkeypatch, chunks):
+    _spread_texts(spark, monkeypatch, "charPair", chunks)
+
+
+def test_mixed_parts_of_two_sets(spark):
+    rows = _text_records()
+    a, b = rows[:70], rows[70:]
+    parts = [di.Part("n", "numeric", 3.0, {"scale": 100.0}), di.Part("v", "text", 1.0, {"strategy": "charPair"}), di.Part("v", "text", 2.0, {"strategy": "jaccard"})]
+    frame = lambda x: spark.createDataFrame([(i, p, v, float(i % 17)) for i, p, v in x], "id int, b int, v string, n double")
+    want = {}
+    for i, p, x in a:
+        for j, q, y in b:
+            if p == q:
+                n, c, d = abs(i % 17 - j % 17) / 100, _text_distance("charPair", x, y), _text_distance("jaccard", x, y)
+                want[i, j] = n if c is None else (3 * n + c + 2 * d) / 6
+    got = {(x["id1"], x["id2"]): x["distance"] for x in si.record_similarity(frame(a), "id", parts, other=frame(b), block="b", threshold=0.3, chunks=2).collect()}
+    assert got.keys() == {k for k, d in want.items() if d <= 0.3} and len(got) > 20
+    assert all(abs(d - want[k]) < 1e-12 for k, d in got.items())
+
+
 def test_ewma_has_a_keys_whole_history(spark):
     rows = [(k, i, None if i % 97 == 5 else float((i * 37) % 11) + (1000.0 if i < 20 else 0.0)) for k in ("a", "b", None) for i in range(700)]
     want = {}
