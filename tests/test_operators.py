@@ -383,6 +383,11 @@ def test_mixed_parts_of_two_sets(spark):
     assert all(abs(d - want[k]) < 1e-12 for k, d in got.items())
 
 
+@pytest.mark.parametrize("chunks", [1, 4])
+def test_texts_by_dice_are_spread(spark, monkeypatch, chunks):
+    _spread_texts(spark, monkeypatch, "dice", chunks)
+
+
 def test_ewma_has_a_keys_whole_history(spark):
     rows = [(k, i, None if i % 97 == 5 else float((i * 37) % 11) + (1000.0 if i < 20 else 0.0)) for k in ("a", "b", None) for i in range(700)]
     want = {}
