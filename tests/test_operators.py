@@ -25,6 +25,7 @@ from millrace.operators import relational as r
 from millrace.operators import sequence as sq
 from millrace.operators import similarity as si
 from millrace.operators import stats as st
+from millrace.operators.common import round_double
 from millrace.sources import text as tx
 
 
@@ -388,6 +389,15 @@ def test_texts_by_dice_are_spread(spark, monkeypatch, chunks):
     _spread_texts(spark, monkeypatch, "dice", chunks)
 
 
+@pytest.mark.parametrize("digits", [0, 4, 6, 9])
+def test_distances_are_rounded_as_by_decimals(spark, digits):
+    near = [k + 0.5 + e for k in (-3, -1, 0, 7, 123456) for e in (0.0, 1e-12, -1e-12, 1e-4, -1e-4, 2e-3, -2e-3)]
+    xs = [k / n for n in range(1, 130) for k in range(n + 1)] + [v / 10**digits for v in near] + [-0.0, -1e-12, 0.1 + 0.2, 1e7 / 3, 1e15 / 7, -1e300, math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(x,) for x in xs], "d double")
+    got = df.select(round_double(F.col("d"), digits).alias("a"), F.round("d", digits).alias("b")).collect()
+    assert len(got) == len(xs) and all(repr(x["a"]) == repr(x["b"]) for x in got)
+
+
 def test_ewma_has_a_keys_whole_history(spark):
     rows = [(k, i, None if i % 97 == 5 else float((i * 37) % 11) + (1000.0 if i < 20 else 0.0)) for k in ("a", "b", None) for i in range(700)]
     want = {}
