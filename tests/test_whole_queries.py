@@ -40,7 +40,7 @@ def test_text_similarity_of_all_parts(spark, how):
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
-@pytest.mark.parametrize("name", ["sim_jaccard", "sim_dice"])
+@pytest.mark.parametrize("name", ["sim_jaccard", "sim_dice", "sim_mixed"])
 def test_similarity_rounds_few_pairs_by_decimals(spark, name):
     plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"CASE WHEN .* THEN .*FLOOR.* ELSE round\(", plan)
